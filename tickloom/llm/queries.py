@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontaminate, packing
+from tickloom.llm import decontaminate, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": decontaminate.query,
+    "op8_secret_scan": secrets.query,
     "op10_packing": packing.query,
 }
 
