@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontaminate, packing, secrets
+from tickloom.llm import decontaminate, neardup, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": decontaminate.query,
     "op8_secret_scan": secrets.query,
+    "op9_near_dedup": neardup.query,
     "op10_packing": packing.query,
 }
 
