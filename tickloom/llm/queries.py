@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontaminate, neardup, packing, secrets
+from tickloom.llm import decontaminate, neardup, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_histogram_sort": sharding.query,
     "op5_decontamination": decontaminate.query,
     "op8_secret_scan": secrets.query,
     "op9_near_dedup": neardup.query,
