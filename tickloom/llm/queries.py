@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontaminate, language, neardup, packing, secrets, sharding
+from tickloom.llm import decontaminate, language, neardup, packing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language.query,
     "op2_histogram_sort": sharding.query,
+    "op3_toxicity": toxicity.query,
     "op5_decontamination": decontaminate.query,
     "op8_secret_scan": secrets.query,
     "op9_near_dedup": neardup.query,

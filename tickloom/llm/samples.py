@@ -11,8 +11,8 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % parts
 
 
-def stratified(rows: DataFrame, label: str, per_label: int, key: str = "doc_id") -> DataFrame:
-    """About per_label rows of each label, the same ones each time; all rows of a label that has fewer.
+def stratified(rows: DataFrame, label: str, per_label: int | dict, key: str = "doc_id") -> DataFrame:
+    """About per_label rows of each label (or as a dict has it by label), the same ones each time; all rows of a label that has fewer.
 
     Rows are taken by a hash of key under a threshold for each label, so nothing is sorted or
     gathered but one count a label. Labels beyond the 64 most frequent are left out.
@@ -21,5 +21,6 @@ def stratified(rows: DataFrame, label: str, per_label: int, key: str = "doc_id")
     keep = F.lit(False)
     hashed = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30))
     for value, n in counts:
-        keep = keep | ((F.col(label) == F.lit(value)) & (hashed < int(min(1.0, per_label / n) * (1 << 30))))
+        wanted = per_label.get(value, 0) if isinstance(per_label, dict) else per_label
+        keep = keep | ((F.col(label) == F.lit(value)) & (hashed < int(min(1.0, wanted / n) * (1 << 30))))
     return rows.where(keep)
