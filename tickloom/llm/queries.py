@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontaminate, language, neardup, packing, quality, secrets, sharding, toxicity
+from tickloom.llm import decontaminate, language, neardup, packing, quality, rules, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language.query,
     "op2_histogram_sort": sharding.query,
     "op3_toxicity": toxicity.query,
+    "op4_quality_rules": rules.query,
     "op5_decontamination": decontaminate.query,
     "op7_quality_classifier": quality.query,
     "op8_secret_scan": secrets.query,
