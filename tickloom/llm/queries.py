@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontaminate, language, neardup, packing, quality, rules, secrets, sharding, toxicity
+from tickloom.llm import decontaminate, language, licenses, neardup, packing, quality, rules, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.query,
     "op4_quality_rules": rules.query,
     "op5_decontamination": decontaminate.query,
+    "op6_license_scan": licenses.query,
     "op7_quality_classifier": quality.query,
     "op8_secret_scan": secrets.query,
     "op9_near_dedup": neardup.query,
@@ -22,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE_SQL,
+    "op6_license_scan": licenses.ORACLE_SQL,
 }
