@@ -441,12 +441,12 @@ _P = "CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE ((p_partkey * 7919) % 10007) *
 @query(f"""WITH t AS (SELECT p_partkey AS position, CASE WHEN p_partkey % 2 = 0 THEN 'surface' ELSE 'cross_broker' END AS family, {_P} AS p_value FROM part),
 k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p_value, position) AS k, count(*) OVER (PARTITION BY family) AS m FROM t WHERE p_value IS NOT NULL),
 j AS (SELECT *, max(CASE WHEN p_value <= 5e-2 * k / m THEN k END) OVER (PARTITION BY family) AS last, min(p_value * m / k) OVER (PARTITION BY family ORDER BY p_value, position ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS adj FROM k)
-SELECT t.position, t.family, t.p_value, k AS rank, CASE WHEN k IS NOT NULL THEN greatest(0e0, least(1e0, adj)) END AS p_adjusted, coalesce(k <= last, false) AS rejected FROM t LEFT JOIN j USING (position, family)""")
+SELECT t.position, t.family, t.p_value, coalesce(k, 0) AS rank, CASE WHEN k IS NOT NULL THEN greatest(0e0, least(1e0, adj)) END AS p_adjusted, coalesce(k <= last, false) AS rejected FROM t LEFT JOIN j USING (position, family)""")
 def bh_fdr(spark, sf):
     k = F.col("p_partkey")
     p = F.when(k % 97 != 0, ((k * 7919) % 10007) * ((k * 104729) % 10009) / 100160063.0 / 50)
     t = spark.read.parquet(f"{sf}/part.parquet").select(k.alias("position"), F.when(k % 2 == 0, "surface").otherwise("cross_broker").alias("family"), p.alias("p_value"))
-    return research.benjamini_hochberg(t)
+    return research.benjamini_hochberg(t).withColumn("rank", F.coalesce(F.col("rank").cast("bigint"), F.lit(0)))
 
 
 _FOLDS = f"""WITH {sql_ticks()}, x AS (SELECT seq, mono_nanos AS t FROM ticks), o AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS place FROM (SELECT DISTINCT t FROM x)),
