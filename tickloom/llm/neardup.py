@@ -11,8 +11,10 @@ chance below MISS. The join finds all pairs that share M:
   passage come last and are hardly ever posted.
 * Under each token every class first meets the token's most typical class only. Pairs are
   counted over all coordinates, then confirmed on full shingle sets, and joined into components.
-  Then pairs that share a posting but lie in different components meet as well. A posting's
-  classes that are linked already are not paired again, so a large group makes few pairs.
+* Then pairs that share a posting but lie in different components meet as well, one of them
+  outside the posting's main component. Shingles that no other such class has bound the
+  overlap of a pair; those that can't reach the similarity make no pair. So a large group of
+  copies, linked by its hub already, makes few pairs.
 """
 
 from __future__ import annotations
@@ -140,6 +142,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
+def _common(placed: DataFrame, posted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """rep, n and common (how many of its shingles other classes in placed have as well): a bound on every overlap."""
+    ids = placed.select(F.col("rep").alias("doc_id")).distinct()
+    sets = shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words).dropDuplicates(["rep"])
+    alone = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    alone = alone.groupBy("rep").agg(F.count("*").alias("alone"))
+    return ids.withColumnRenamed("doc_id", "rep").join(posted.select("rep", "n"), "rep").join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: the component of each document under links of similar shingle sets.
 
@@ -163,19 +174,23 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int =
     parts = components(scratch, links)
 
     # Pairs that share a posting across components; those that met above are known.
-    placed = postings.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    placed = scratch.write(placed.join(split, "token"))
-    one = placed.select("token", F.col("rep").alias("a"), F.col("component").alias("c_a"))
-    two = placed.select("token", F.col("rep").alias("b"), F.col("component").alias("c_b"))
-    across = one.join(two, "token").where("a < b and c_a != c_b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    placed = postings.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "typical", F.coalesce("component", "rep").alias("component"))
+    split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("typical", -F.col("rep"))).alias("main")).where("low < high").select("token", "main")
+    placed = scratch.write(placed.join(split, "token").select("token", "rep", "component", "main"))
+    common = scratch.write(_common(placed, posted, docs, words).where(100 * F.col("common") >= percent * F.col("n")))
+    members = scratch.write(placed.join(common, "rep"))
+    odd = members.where("component != main").select("token", F.col("rep").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("common").alias("m_a"))
+    all_ = members.select("token", F.col("rep").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("common").alias("m_b"))
+    most = F.least("m_a", "m_b")
+    across = odd.join(all_, "token").where((F.col("c_a") != F.col("c_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)))
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = scratch.write(_counted(across, posted, least, percent))
     more = scratch.write(_confirmed(second, docs, words, percent))
     parts = components(scratch, links.union(more))
 
     named = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), F.col("rep").alias("id")).join(parts, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
-    scratch.drop(posted, placed, first, second, links, more)
+    scratch.drop(posted, placed, common, members, first, second, links, more)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
