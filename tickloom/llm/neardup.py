@@ -36,6 +36,8 @@ from tickloom.llm.scratch import Scratch
 COORDINATES = 48
 #: Chance that a pair at the threshold shares too few coordinates.
 MISS = 1e-6
+#: Ranges in which a set's shingles are counted, and the most bits of a filter of ids (32 MB).
+SPREAD, MOST_BITS = 128, 1 << 28
 #: Words of a shingle and percent of similarity, where no contract sets others.
 WORDS, PERCENT = 5, 80
 
@@ -104,15 +106,43 @@ def signatures(docs: DataFrame, words: int, k: int = COORDINATES) -> DataFrame:
     return ragged.append(docs.select("doc_id", "text"), run, fields, drop=("text",))
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """rep (the doc_id) and shingles, the sorted hashes of the full set."""
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        sets = shingles(ragged.column(batch, "text"), words)
-        bounds = np.concatenate([[0], np.cumsum([s.size for s in sets])]).astype(np.int32)
-        values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        return [pa.ListArray.from_arrays(pa.array(bounds), pa.array(values.view(np.int64)))]
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """rep, shingles (the sorted hashes of the full set) and spread (how many of them fall into each of SPREAD ranges).
 
-    return ragged.append(docs.select(F.col("doc_id").alias("rep"), "text"), run, [T.StructField("shingles", T.ArrayType(T.LongType()))], drop=("text",))
+    Of docs those whose id is in ids (column id), and few others: a fixed-size filter of the ids
+    is sent to where the texts are, so no text is shuffled. Joins on rep leave out the others.
+    """
+    n = ids.count()
+    bits = min(MOST_BITS, max(1 << 20, 1 << (16 * n).bit_length()))
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(ids, bits))
+    slot = F.pmod(F.xxhash64("rep"), F.lit(bits))
+    fields = [T.StructField("rep", docs.schema["doc_id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("spread", T.ArrayType(T.ShortType()))]
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            sets = shingles(batch.column(1), words)
+            bounds = pa.array(np.concatenate([[0], np.cumsum([s.size for s in sets])]).astype(np.int32))
+            values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            spread = np.zeros((len(sets), SPREAD), np.int16)
+            for i, s in enumerate(sets):
+                spread[i] = np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SPREAD), 32767)
+            spreads = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SPREAD), pa.array(spread.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(values.view(np.int64))), spreads], names=["rep", "shingles", "spread"])
+
+    return docs.select(F.col("doc_id").alias("rep"), "text").where("rep is not null").select("rep", "text", slot.alias("slot")).mapInArrow(run, T.StructType(fields))
+
+
+def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """The hashes of ids, modulo bits, as set bits."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    block = 1 << 15
+    parts = ids.select(slot.alias("slot")).groupBy(F.expr(f"slot div {block}").alias("block")).agg(F.bitmap_construct_agg(F.col("slot") % block).alias("bitmap"))
+    out = np.zeros(bits >> 3, np.uint8)
+    for r in parts.collect():
+        out[r["block"] * block >> 3 : (r["block"] + 1) * block >> 3] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    return out
 
 
 def _postings(classes: DataFrame, least: int) -> DataFrame:
@@ -133,22 +163,32 @@ def _counted(pairs: DataFrame, posted: DataFrame, least: int, percent: int) -> D
     return pairs.join(one, "a").join(two, "b").where(sized).where(same >= least).select("a", "b", "n_a", "n_b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets have the similarity. Sets are made of the documents in question only."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words).dropDuplicates(["rep"])
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets have the similarity."""
+    sets = sets.select("rep", "shingles")
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
-    return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct()
 
 
-def _common(placed: DataFrame, posted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """rep, n and common (how many of its shingles other classes in placed have as well): a bound on every overlap."""
-    ids = placed.select(F.col("rep").alias("doc_id")).distinct()
-    sets = shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words).dropDuplicates(["rep"])
+def _common(sets: DataFrame) -> DataFrame:
+    """rep and common: how many of its shingles others of the sets have as well, a bound on every overlap."""
     alone = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
     alone = alone.groupBy("rep").agg(F.count("*").alias("alone"))
-    return ids.withColumnRenamed("doc_id", "rep").join(posted.select("rep", "n"), "rep").join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    return sets.select("rep", "spread", F.size("shingles").alias("n")).join(alone, "rep", "left").select("rep", "spread", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def _may_link(percent: int):
+    """Whether two classes under one token can have the similarity, and this is the first token they share.
+
+    An overlap is at most what both share with others, and at most the sum over ranges of the
+    smaller count. The cheap tests come first.
+    """
+    enough = lambda overlap: 100 * overlap >= percent * (F.col("n_a") + F.col("n_b") - overlap)
+    met_here = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("token")
+    spread = F.aggregate(F.zip_with("spread_a", "spread_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, v: s + v)
+    capped = F.greatest("n_a", "n_b") >= 32767  # counts this large may have been cut
+    return (F.col("component_a") != F.col("component_b")) & enough(F.least("common_a", "common_b")) & met_here & (capped | enough(spread))
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = COORDINATES) -> DataFrame:
@@ -170,27 +210,28 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int =
     hubs = postings.groupBy("token").agg(F.max_by("rep", F.struct("typical", -F.col("rep"))).alias("hub"), F.count("*").alias("n_posted")).where("n_posted > 1")
     met = postings.join(hubs, "token").where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     first = scratch.write(_counted(met, posted, least, percent))
-    links = scratch.write(_confirmed(first, docs, words, percent))
+    ends = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
+    links = scratch.write(_confirmed(first, shingle_sets(docs, ends, words), percent))
     parts = components(scratch, links)
 
     # Pairs that share a posting across components; those that met above are known.
     placed = postings.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", "typical", F.coalesce("component", "rep").alias("component"))
     split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("typical", -F.col("rep"))).alias("main")).where("low < high").select("token", "main")
     placed = scratch.write(placed.join(split, "token").select("token", "rep", "component", "main"))
-    common = scratch.write(_common(placed, posted, docs, words).where(100 * F.col("common") >= percent * F.col("n")))
-    members = scratch.write(placed.join(common, "rep"))
-    odd = members.where("component != main").select("token", F.col("rep").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"), F.col("common").alias("m_a"))
-    all_ = members.select("token", F.col("rep").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"), F.col("common").alias("m_b"))
-    most = F.least("m_a", "m_b")
-    across = odd.join(all_, "token").where((F.col("c_a") != F.col("c_b")) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    ids = placed.select(F.col("rep").alias("id")).distinct()
+    sets = scratch.write(shingle_sets(docs, ids, words).join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").dropDuplicates(["rep"]))
+    able = _common(sets).where(100 * F.col("common") >= percent * F.col("n")).join(posted.select("rep", "prefix"), "rep")
+    members = scratch.write(placed.join(able, "rep"))
+    named = lambda t, x: t.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n", "common", "prefix", "spread")])
+    odd, every = named(members.where("component != main"), "a"), named(members, "b")
+    across = odd.join(every, "token").where(_may_link(percent)).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = scratch.write(_counted(across, posted, least, percent))
-    more = scratch.write(_confirmed(second, docs, words, percent))
+    more = scratch.write(_confirmed(second, sets, percent))
     parts = components(scratch, links.union(more))
 
-    named = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), F.col("rep").alias("id")).join(parts, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
-    scratch.drop(posted, placed, common, members, first, second, links, more)
+    of_class = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), F.col("rep").alias("id")).join(parts, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
+    scratch.drop(posted, placed, sets, members, first, second, links, more)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
