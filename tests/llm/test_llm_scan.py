@@ -1,0 +1,224 @@
+"""Row-wise operators: edge cases, brute force, round trips."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tickloom.llm import decontaminate, language, licenses, packing, quality, ragged, rules, secrets, toxicity
+
+SCHEMA = "doc_id long, text string, Score double, licenses string, N_WORDS string"
+ODD = [None, "", " \n\t ", "a", "Ünï", "word " * 30_000, "1234 !!", "x\ny\nx\n", "\x00\x1c", "日本語 テキスト"]
+
+
+def docs(spark, texts, schema=SCHEMA):
+    """Documents with columns whose names clash with what operators add."""
+    return spark.createDataFrame([(i, t, 0.5, "own", "w") for i, t in enumerate(texts)], schema)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return docs(spark, ODD + ODD[:4])
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_rules_statistics_equal_brute_force(spark):
+    rng = random.Random(2)
+    texts = ODD + ["\n".join(" ".join(rng.choice(["a", "b", "c#", "Dé", "<e>"]) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+
+    def brute(t):
+        t = t or ""
+        w = WORD.findall(t)
+        grams = Counter(zip(w, w[1:], w[2:], strict=False))
+        hit = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        lines = [v for v in t.split("\n") if WORD.search(v)]
+        return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
+
+    got = {r["doc_id"]: r for r in rules.judge(docs(spark, texts), []).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        want = brute(t)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and r["kept"] == (not r["base_failed"])
+
+
+def test_rules_are_learned_and_run_in_sql(spark, sf):
+    rng = random.Random(3)
+    rows = [{f: rng.random() for f in rules.FEATURES} for _ in range(900)]
+    for r in rows:
+        r["label"] = 0 if r["symbol_share"] > 0.7 or r["upper_share"] > 0.8 and r["mark_share"] > 0.5 else 1
+    found = rules.learn(rows)
+    takes = lambda r: any(all(c.holds(r) for c in rule) for rule in found)
+    assert sum(takes(r) == (r["label"] == 0) for r in rows) > 0.97 * len(rows)
+    assert rules.learn([r | {"label": 1} for r in rows]) == [] == rules.learn([])
+    plan = rules.query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_licenses_equal_brute_force(spark, sf):
+    def brute(t):
+        units = dict.fromkeys([*(t or "").split("\n"), *re.split("\n[ \t]*\n", t or ""), t or ""])
+        out = []
+        for u in units:
+            g = set(licenses.bigrams(u))
+            for name, text in licenses.TEMPLATES.items():
+                own = set(licenses.bigrams(text))
+                if g and 200 * len(g & own) >= licenses.PERCENT * (len(g) + len(own)):
+                    out.append(name)
+        return sorted(out)
+
+    mit = licenses.TEMPLATES["mit-grant"]
+    texts = ODD + [mit, mit.replace("free of charge", "gratis"), mit[:200], mit.replace(", ", ",\n"), "All rights reserved.\n\nReleased under the MIT  license", "all RIGHTS reserved!\nfoo", "rights reserved"]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r["doc_id"]: sorted(m["license"] for m in r["licenses"]) for r in licenses.scan(docs(spark, texts)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    assert "mit-grant" in got[len(ODD)] and "mit" in got[len(ODD) + 4]
+    plan = licenses.query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_decontamination(spark):
+    words = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(7, " ".join(words[:12])), (3, "Short Item"), (9, None), (10, " ,. "), (7, " ".join(words[:12]))], "item_id long, text string")
+    texts = [*ODD, "x " + "-".join(words[:12]).upper() + " y", " ".join(words[1:11]), " ".join(words[:9]), "a short; ITEM b short item", " ".join(words[:5] + ["z"] + words[5:12])]
+    for block in (decontaminate.BLOCK_BYTES, 20):
+        out = decontaminate.find(docs(spark, texts), bench, block_bytes=block)
+        assert "N_WORDS" not in out.columns and "licenses" in out.columns
+        got = {r["doc_id"]: r for r in decontaminate.digest(out).collect()}
+        n = len(ODD)
+        assert [got[n + k]["n_hit"] for k in range(5)] == [12, 10, 0, 4, 0]
+        assert got[n]["items_sha256"] == hashlib.sha256(b"7").hexdigest() and got[n + 3]["items_sha256"] == hashlib.sha256(b"3").hexdigest()
+        assert got[0]["n_words"] == 0 and not got[0]["contaminated"] and got[0]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    none = decontaminate.digest(decontaminate.find(docs(spark, texts), bench.limit(0)))
+    assert none.where("contaminated").count() == 0 and none.count() == len(texts)
+    assert decontaminate.find(docs(spark, texts).limit(0), bench).count() == 0
+
+
+def test_secrets(spark):
+    ranks = secrets.default_ranks()
+    key = "AKIA" + "QW3RTY7UIOP5ASDF"
+    opaque = "q7Xz9Kp2Lm4Rt8Vw1Yb6"
+    texts = [*ODD, f"é password = 'abc123' {key} end", "token: abc", "PASSWD:abcdef0123456789abcdef01 " + "f" * 24, f"id {opaque} x", "get_user_name_from_database_table12 /usr/local/lib/python3/site-packages", "9f" * 16, "123e4567-e89b-12d3-a456-426614174000"]
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.find(docs(spark, texts), ranks)).collect()}
+    n = len(ODD)
+    t = texts[n]
+    a = t.index("password")
+    assert got[n]["spans"] == f"assign:{a}:{t.index(chr(39), a + 13)},access:{t.index(key)}:{t.index(key) + 20}"
+    assert got[n + 1]["spans"] == ""
+    assert (got[n + 2]["n_assign"], got[n + 2]["n_hex"]) == (1, 2)
+    assert got[n + 3]["spans"] == f"opaque:3:{3 + len(opaque)}" and got[n + 3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert got[n + 4]["spans"] == "" and got[n + 6]["spans"] == "" and got[n + 5]["spans"] == "hex:0:32"
+    assert all(got[k]["spans"] == "" for k in range(n))
+    red = {r["doc_id"]: r["text"] for r in secrets.find(docs(spark, texts), ranks, redact=True).collect()}
+    assert red[n] == "é [SECRET]' [SECRET] end" and red[0] is None and red[n + 1] == texts[n + 1]
+
+
+def test_secrets_equal_plain_scan_of_all_texts(spark, sf):
+    ranks = secrets.default_ranks()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.find(spark.read.parquet(f"{sf}/documents.parquet"), ranks)).collect()}
+    for r in rows:
+        assert got[r["doc_id"]] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in secrets.scan(r["text"] or "", ranks))
+
+
+TOKENIZER = packing.default_tokenizer()
+
+
+def test_every_token_comes_from_its_own_bytes():
+    assert packing.unreachable(TOKENIZER) == []
+
+
+def test_encoder_equals_the_tokenizer(spark, sf):
+    enc = packing.Encoder(TOKENIZER, [])
+    texts = [t for t in ODD if t] + ["don't it'S 'd 's'", "ΣΑΣ İstanbul ǅ ﬁ é é ́x", "a b c\x85d\x1ce", "ab" * 100, "\U0001f600!?‍"]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"]]
+    for t in texts:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.whole.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_round_trip(spark):
+    rng = random.Random(4)
+    texts = [*ODD, *[" ".join(rng.choice(["alpha", "beta", "x1", "Zed,"]) for _ in range(rng.choice([1, 40, 900, 5000]))) for _ in range(60)]]
+    out = packing.pack(docs(spark, texts).repartition(3), TOKENIZER, block_tokens=30_000).collect()
+    enc = packing.Encoder(TOKENIZER, [])
+    by_doc, by_seq = {}, {}
+    for r in out:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] > 0
+    for i, t in enumerate(texts):
+        own = sorted(by_doc[i], key=lambda r: r["start"])
+        assert b"".join(bytes(r["ids"]) for r in own) == enc.encode(t or "") + np.array([2], "<u4").tobytes()
+        assert [r["start"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist() and own[0]["doc_tokens"] == sum(r["length"] for r in own)
+    padded = 0
+    for s in by_seq.values():
+        s.sort(key=lambda r: r["offset"])
+        n = sum(r["length"] for r in s)
+        assert [r["offset"] for r in s] == np.cumsum([0, *[r["length"] for r in s]])[:-1].tolist() and n <= 4096
+        padded += 0 if n & (n - 1) == 0 else 1
+    assert padded <= 3 + sum(r["length"] for r in out) // 30_000 + 1  # one a block at most
+    assert Counter(r["step"] for s in by_seq.values() for r in s[:1]).most_common(1)[0][1] <= packing.STEP_SEQUENCES
+    assert packing.pack(docs(spark, texts).limit(0), TOKENIZER).count() == 0
+    with pytest.raises(ValueError, match="powers of two"):
+        packing.pack(docs(spark, texts), TOKENIZER, tiers=(100, 4096))
+
+
+def test_language(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    out = language.query(spark, sf).join(d.select("doc_id", "lang"), "doc_id")
+    assert out.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+    model = language.fit(d)
+    assert model.families == ["germanic", "romance"] and model.languages == [["de", "en"], ["es", "fr"]]
+    got = {r["doc_id"]: r for r in language.predict(docs(spark, ODD), model).collect()}
+    assert [got[i]["lang_pred"] == "und" for i in range(len(ODD))] == [not any(map(str.isalpha, t or "")) for t in ODD]
+    assert "Score" not in language.predict(docs(spark, ODD), model).columns
+    nothing = language.fit(d.limit(0))
+    assert {r["lang_pred"] for r in language.predict(docs(spark, ODD), nothing).collect()} == {"und"}
+    one = language.fit(d.where("lang = 'fr'"))
+    assert {r["lang_pred"] for r in language.predict(docs(spark, ["bonjour"]), one).collect()} == {"fr"}
+
+
+@pytest.mark.parametrize(("op", "column"), [(toxicity, "toxic"), (quality, "quality")])
+def test_classifiers(spark, op, column):
+    rng = random.Random(6)
+    sf = "/root/testdata/sf0.01"
+    got = op.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    hits = got.where("held_out").groupBy(column).agg(F.avg((F.col("predicted") == F.col(column)).cast("int")).alias("a")).collect()
+    assert min(r["a"] for r in hits) > 0.7
+    bad = ["stupid", "clown"] if op is toxicity else ["!!", "%%"]
+    texts = [" ".join([rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(20)] + [rng.choice(bad)] * (k % 2) * 5) for k in range(80)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)] + [(1, 1), (2, None), (999, 1)], "doc_id long, y int")
+    model = op.fit(docs(spark, texts + [None]), labels, "y")
+    out = {r["doc_id"]: r for r in op.score(docs(spark, texts + ODD), model).collect()}
+    assert sum(out[k]["predicted"] == k % 2 for k in range(80)) >= 78
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out.values())
+    assert op.score(docs(spark, []), model).count() == 0 if texts else True
+    single = op.fit(docs(spark, texts), labels.where("y = 1"), "y")
+    assert {r["predicted"] for r in op.score(docs(spark, texts), single).collect()} == {1}
+
+
+def test_misspelt_words_share_their_parts():
+    rng = random.Random(8)
+    plain = ["thandering", "oution", "bleation", "eresting", "andhation", "whering"]
+    texts = [" ".join(rng.choice(plain) + rng.choice(plain)[:3] for _ in range(30)) + (" worthless pathetic" if k % 2 else "") for k in range(300)]
+    model = toxicity.train(texts, np.array([k % 2 for k in range(300)]))
+    s = model.score(pa.array(["andhation whering worthlesss oution", "andhation whering patheticc oution", "andhation whering oution"]))
+    assert s[0] > 0.5 and s[1] > 0.5 and s[2] < 0.5
+
+
+def test_runs_and_hashes_do_not_cross_rows():
+    x, bounds = ragged.raw(pa.array(["ab cd", "cd", None, "", "ab cd"]))
+    flag = ragged.VISIBLE[x]
+    s, e, row = ragged.runs(flag, bounds)
+    h = ragged.run_hashes(x, flag, s, e)
+    assert row.tolist() == [0, 0, 1, 4, 4] and h[0] == h[3] and h[1] == h[2] == h[4] and h[0] != h[1]
+    parts = list(ragged.slices(pa.array(["a" * 10] * 5), 25))
+    assert [p[0] for p in parts] == [0, 2, 4]
