@@ -68,6 +68,35 @@ def adaptive(path: str | None, rows: DataFrame, expected: dict | None = None) ->
     return predict(model, rows)
 
 
+def onnx_predict(rows: DataFrame, path: str, features: tuple[str, ...] = schema.MODEL_FEATURES) -> DataFrame:
+    """rows with the probabilities of an ONNX classifier, in batches; one session a worker. A value that is not finite raises.
+
+    The model takes [N, features] floats and gives labels and probabilities by class, as an array or as maps.
+    path must be readable where executors run, or be shipped with the job.
+    """
+    import pandas as pd
+
+    def run(batches):
+        import numpy as np
+        import onnxruntime
+
+        session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+        name = session.get_inputs()[0].name
+        for columns in batches:
+            x = np.stack([c.to_numpy(dtype=np.float32) for c in columns], axis=1)
+            if not np.isfinite(x).all():
+                raise ValueError("feature is not finite")
+            out = session.run(None, {name: x})[-1]
+            p = np.array([[row[k] for k in sorted(row)] for row in out]) if isinstance(out, list) else np.asarray(out)
+            yield pd.DataFrame({"p_down": p[:, 0], "p_neutral": p[:, 1], "p_up": p[:, 2]}).astype(float)
+
+    score = F.pandas_udf(run, "p_down double, p_neutral double, p_up double", functionType=F.PandasUDFType.SCALAR_ITER)
+    out = rows.withColumn("_p", score(*features)).select(*rows.columns, "_p.*")
+    best = F.greatest("p_down", "p_neutral", "p_up")
+    label = F.when(F.col("p_down") == best, -1).when(F.col("p_neutral") == best, 0).otherwise(1)
+    return out.withColumns({"mode": F.lit("MODE_MODEL_ACTIVE"), "predicted": label, "score": F.col("p_up") - F.col("p_down")})
+
+
 def accuracy(predicted: DataFrame, target: str = TARGET) -> DataFrame:
     return predicted.agg(F.avg((F.col("predicted") == F.col(target)).cast("int")).alias("accuracy"), F.count("*").alias("n"))
 

@@ -76,6 +76,32 @@ def peak(cells: DataFrame) -> DataFrame:
     return cells.orderBy(F.desc("composite"), "interval_ms", "horizon").limit(1)
 
 
+def surface_json(shown: DataFrame, cells: DataFrame) -> DataFrame:
+    """One row with the surface as JSON: each feature's correlations, the composite, and its peak. 250 cells at most."""
+    each = shown.agg(F.sort_array(F.collect_list(F.struct("feature", "interval_ms", "horizon", "ic"))).alias("surfaces"))
+    whole = cells.agg(F.sort_array(F.collect_list(F.struct("interval_ms", "horizon", "composite"))).alias("composite"), F.max_by(F.struct("interval_ms", "horizon", "composite"), F.struct("composite", -F.col("interval_ms"), -F.col("horizon"))).alias("peak"))
+    return each.crossJoin(whole).select(F.to_json(F.struct("surfaces", "composite", "peak")).alias("value"))
+
+
+def correlations(table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Pearson correlations of all pairs of columns, as a, b and r; NULL where a column is constant."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+
+    def r(a: str, b: str) -> Column:
+        x, y = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c)) for c in (a, b))
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+    row = table.agg(*[r(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])).alias("c")).select("c.*")
+
+
+def brier(predicted: DataFrame, target: str) -> DataFrame:
+    """The mean squared distance of three probabilities from what happened."""
+    parts = [(F.col(p) - (F.col(target) == v).cast("double")) ** 2 for p, v in (("p_down", -1), ("p_neutral", 0), ("p_up", 1))]
+    return predicted.agg(F.avg(parts[0] + parts[1] + parts[2]).alias("brier"))
+
+
 def _beta_tail(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function, by its continued fraction."""
     if x <= 0 or x >= 1:
