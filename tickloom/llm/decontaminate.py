@@ -20,7 +20,7 @@ from tickloom.llm import ragged
 #: Words in a window.
 WINDOW = 10
 #: Text bytes of benchmark items that one broadcast set is made from.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 
 _FIELDS = [
     T.StructField("n_words", T.LongType()),
