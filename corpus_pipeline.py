@@ -35,7 +35,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, on shingles of 5 words with 80 percent: the smallest doc_id."""
+    """One document of each group of near duplicates, on shingles of 5 words with 80 percent: the smallest doc_id.
+
+    Rows that repeat that doc_id stay together; rows without a doc_id go.
+    """
     kept = neardup.groups(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 

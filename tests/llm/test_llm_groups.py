@@ -158,3 +158,17 @@ def test_pipeline_of_nothing(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = scratch.write(stage(spark, docs, sf))
     assert docs.count() == 0
+
+
+def test_rows_without_ids(spark, sf):
+    """Nulls in any column crash nothing."""
+    from tickloom.llm import language, packing, secrets
+
+    docs = spark.createDataFrame([(None, "a b c d e f g", None, None, None), (None, None, None, None, None), (4, "a b c d e f g", None, None, None)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.groups(docs).collect()), key=str)
+    assert got == [(4, 4, True), (None, 4, False), (None, None, False)]
+    assert sharding.shard(docs, 2).count() == 3
+    assert packing.pack(docs, packing.default_tokenizer()).where("doc_id is null").count() >= 2
+    assert secrets.find(docs, secrets.default_ranks(), redact=True).count() == 3
+    assert language.predict(docs, language.fit(docs)).where("lang_pred = 'und'").count() == 3
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, sf).count() == 1

@@ -197,7 +197,7 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int =
     docs has doc_id and text; doc_id names one text, and rows that repeat it come back as often,
     each in the component of its own text. A null or empty text has no shingles, is linked with
     nothing and is kept. Texts of equal shingle sets are always linked. Ties between class
-    representatives go to the smallest doc_id. Other columns of docs are left out; an empty
+    representatives go to the smallest doc_id; a row without a doc_id is never kept. Other columns of docs are left out; an empty
     table gives no row. component_id is the smallest doc_id reachable.
     """
     least = least_matches(percent, k)
@@ -233,7 +233,7 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int =
     out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     scratch.drop(posted, placed, sets, members, first, second, links, more)
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
