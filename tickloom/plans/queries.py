@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -34,8 +35,18 @@ def query(sql: str | None = None):
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder among the shared ones of the session; a temporary one only where none is set."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tickloom-')).rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder among the shared ones of the session (a temporary one only where none is set), removed when the driver ends."""
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tickloom-')).rstrip('/')}/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM went first; the folder is the cluster's to sweep
+        pass
 
 
 # --- SQL pieces ---------------------------------------------------------------------------
