@@ -603,3 +603,26 @@ def display_percent(spark, sf):
     b = Book.unrolled()
     return ticks.load(spark, sf).select("instrument_token", "seq", F.round(percent(b.obi(b.ready())), 6).alias("obi_percent"))
 
+
+
+@query(f"WITH {sql_ticks()} SELECT count(DISTINCT instrument_token) AS n_instruments, count(*) AS n_updates FROM ticks")
+def active_instruments(spark, sf):
+    return ticks.load(spark, sf).agg(F.count_distinct("instrument_token").alias("n_instruments"), F.count("*").alias("n_updates"))
+
+
+_CORR = ("l1_obi", "w_obi_lin", "micro_pressure_bps", "trade_strength")
+
+
+@query(f"WITH {sql_table((1000,))} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM full_table" for i, a in enumerate(_CORR) for b in _CORR[i:]))
+def pearson_matrix(spark, sf):
+    t = table.feature_table(ticks.load(spark, sf))
+    return research.correlations(t, _CORR).withColumn("r", F.round("r", 6))
+
+
+@query(f"""WITH {sql_ticks()}, z AS (SELECT seq, mono_nanos AS t FROM ticks) SELECT seq FROM z WHERE (t - 5000000000 <= 362000000000 AND 358000000000 <= t) OR (t <= 362000000000 AND 358000000000 <= t + 5000000000)""")
+def interval_overlap(spark, sf):
+    """Ticks whose feature or label interval meets a zone."""
+    t = F.col("mono_nanos")
+    zone = (F.lit(358 * schema.SECOND), F.lit(362 * schema.SECOND))
+    span = 5 * schema.SECOND
+    return ticks.load(spark, sf).where(research.overlaps((t - span, t), zone) | research.overlaps((t, t + span), zone)).select("seq")
