@@ -131,6 +131,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             spreads = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SPREAD), pa.array(spread.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(values.view(np.int64))), spreads], names=["rep", "shingles", "spread"])
 
+    ragged.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").alias("rep"), "text").where("rep is not null").select("rep", "text", slot.alias("slot")).mapInArrow(run, T.StructType(fields))
 
 

@@ -31,7 +31,7 @@ BLOCK_TOKENS = 4_000_000
 #: Sequences that form one training step.
 STEP_SEQUENCES = 8
 #: Chunks, and pieces of chunks, that a worker remembers.
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 100_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step long, ids binary"
 
@@ -278,6 +278,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...
         if ids:
             yield from flush()
 
+    ragged.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 

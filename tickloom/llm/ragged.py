@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes worked on at a time, so that temporary arrays stay small whatever an Arrow batch holds.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
@@ -152,9 +154,17 @@ def append(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fiel
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + fn(batch), names=names)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of the session hold more than BATCH_ROWS rows: texts can be long, and each is copied several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column of that name in any letter case, as Spark resolves names."""
     at = next(i for i, c in enumerate(batch.schema.names) if c.lower() == name.lower())
