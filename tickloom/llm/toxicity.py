@@ -24,7 +24,7 @@ BUCKETS, WIDTH, GRAMS = 1 << 18, 8, (3, 4, 5)
 #: Words in a passage.
 PASSAGE = 3
 #: Labelled documents that the model is fitted on, by label, and the most bytes of one.
-PER_LABEL, MOST_BYTES = {0: 1400, 1: 700}, 12_000
+PER_LABEL, MOST_BYTES = {0: 1200, 1: 600}, 8_000
 #: Rounds of full-batch training: on means of whole documents first, then on worst passages.
 WARM, ROUNDS = 12, 45
 
