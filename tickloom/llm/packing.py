@@ -14,6 +14,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -102,15 +103,21 @@ class Encoder(dict):
     def __init__(self, path: str, never: list[bytes]):
         super().__init__()
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         self.pieces: dict[str, bytes] = {}
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         ids, _ = vocabulary(path)
         ranks = {t: i for t, i in ids.items() if t not in set(never)}
         self.bpe = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
+    @cached_property
+    def whole(self):
+        """The file's own library, loaded for the few texts that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def piece(self, piece: str) -> bytes:
         """Ids of one match of the word pattern, kept as well: chunks differ by punctuation and case."""
         out = self.pieces.get(piece)
