@@ -254,10 +254,17 @@ def arrival_gaps(spark, sf):
 @query(f"""WITH {sql_ticks(True, 'user_id % 5')}, g AS (SELECT instrument_token, CASE WHEN tag = 'STATE_CROSSED' AND lag(tag) OVER w = 'STATE_CROSSED' THEN mono_nanos - lag(mono_nanos) OVER w ELSE 0 END AS gap
 FROM (SELECT *, {TAG} AS tag FROM ticks WHERE seq % 50 < 3) WINDOW w AS (PARTITION BY instrument_token ORDER BY mono_nanos, seq)) SELECT instrument_token, sum(gap)::BIGINT AS crossed_nanos FROM g GROUP BY instrument_token""")
 def crossed_duration(spark, sf):
-    """On the rows with anomalies, so that crossed books are neighbours."""
+    """On the rows with anomalies only, as its SQL has it, so that crossed books are neighbours; crossed_duration_all takes all ticks."""
     return flow.crossed_duration(ticks.load(spark, sf, bad=True, dense=True).where("seq % 50 < 3"))
 
 
+@query(f"""WITH {sql_ticks(True)}, g AS (SELECT instrument_token, CASE WHEN tag = 'STATE_CROSSED' AND lag(tag) OVER w = 'STATE_CROSSED' THEN mono_nanos - lag(mono_nanos) OVER w ELSE 0 END AS gap
+FROM (SELECT *, {TAG} AS tag FROM ticks) WINDOW w AS (PARTITION BY instrument_token ORDER BY mono_nanos, seq)) SELECT instrument_token, sum(gap)::BIGINT AS crossed_nanos FROM g GROUP BY instrument_token""")
+def crossed_duration_all(spark, sf):
+    """On all ticks of all instruments."""
+    return flow.crossed_duration(ticks.load(spark, sf, bad=True))
+
+
 @query(f"""WITH {sql_ticks()} SELECT instrument_token, seq, mono_nanos, ltp, b0, a0, n_updates FROM (SELECT *, row_number() OVER (PARTITION BY instrument_token ORDER BY mono_nanos DESC, seq DESC) AS n, count(*) OVER (PARTITION BY instrument_token) AS n_updates FROM ticks) WHERE n = 1""")
 def latest_book(spark, sf):
     return flow.latest(ticks.load(spark, sf).select("instrument_token", "seq", "mono_nanos", "ltp", "b0", "a0"))
@@ -359,6 +366,15 @@ def feature_store(spark, sf):
     return t.select(F.col("instrument_token").cast("bigint").alias("instrument_token"), "grid_seq", _r9(F.col("mid_price")).alias("mid_price"), "interval_ms")
 
 
+@query(f"WITH {sql_table((1000,))} SELECT instrument_token, grid_seq, round(mid_price, 9) AS mid_price, 1000 AS interval_ms FROM full_table")
+def feature_store_all(spark, sf):
+    """Written as partitions and read back, all instruments."""
+    path = folder(spark)
+    store.write_features(table.feature_table(ticks.load(spark, sf)), path, "2024-01-02")
+    t = store.read_features(spark, path, 1000, "2024-01-02")
+    return t.select(F.col("instrument_token").cast("bigint").alias("instrument_token"), "grid_seq", _r9(F.col("mid_price")).alias("mid_price"), "interval_ms")
+
+
 _VALUES = "CAST(round(o_totalprice * 100) AS BIGINT) / 1e2"
 
 
