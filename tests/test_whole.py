@@ -1,8 +1,10 @@
 """Queries over whole tables, where the one with frozen SQL takes a part."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tickloom.plans import features, queries
+from tickloom.functions import schema
+from tickloom.plans import features, queries, research
 from tickloom.sources import ticks
 
 
@@ -21,3 +23,32 @@ def test_feature_store_of_all_instruments(spark, sf):
     want = features.feature_table(ticks.load(spark, sf))
     count = lambda d: {r[0]: r[1] for r in d.groupBy(F.col("instrument_token").cast("long")).count().collect()}
     assert count(got) == count(want) and len(count(got)) > 1
+
+
+def test_whole_surface_equals_brute_force(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/events.parquet").where("user_id <= 2").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    t = features.feature_table(ticks.load(spark, str(tmp_path)), schema.INTERVALS_MS).toPandas()
+    shown, p_values = {}, {}
+    for i in schema.INTERVALS_MS:
+        for h in schema.HORIZONS_SEC:
+            each = []
+            for f in schema.IC_FEATURES:
+                cell = t[t.interval_ms == i][[f, f"r_{h}s"]].dropna().astype(float).round(9)
+                x, y = cell[f].rank(), cell[f"r_{h}s"].rank()
+                ic = x.corr(y) if len(cell) >= 3 and x.nunique() > 1 and y.nunique() > 1 else None
+                each.append(abs(ic) if ic is not None and len(cell) >= 30 else 0.0)
+                if ic is not None:
+                    p_values[i, h, f] = research.student_p(ic * ((len(cell) - 2) / (1 - ic * ic)) ** 0.5, len(cell) - 2)
+            shown[i, h] = sum(each) / len(each)
+    got = {(r["interval_ms"], r["horizon"]): r["composite"] for r in queries.QUERIES["information_surface_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == shown.keys() and len(got) == 25
+    assert all(got[c] == pytest.approx(shown[c], abs=1e-8) for c in got)
+    top = queries.QUERIES["surface_peak_all"](spark, str(tmp_path)).first()
+    assert top["composite"] == max(got.values()) and got[top["interval_ms"], top["horizon"]] == top["composite"]
+    tests = {(r["interval_ms"], r["horizon"], r["feature"]): r for r in queries.QUERIES["surface_tests"](spark, str(tmp_path)).collect()}
+    assert len(tests) == 250
+    order, adjusted, least = sorted(p_values, key=p_values.get, reverse=True), {}, 1.0
+    for k, c in enumerate(order):
+        least = min(least, p_values[c] * len(order) / (len(order) - k))
+        adjusted[c] = least
+    assert all(tests[c]["p_adjusted"] == pytest.approx(adjusted[c], rel=1e-5, abs=1e-12) for c in order)

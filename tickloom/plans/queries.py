@@ -441,7 +441,9 @@ def rank_ic_1s_grid(spark, sf):
     return _ic(spark, sf, (1000,), (5,), schema.IC_FEATURES).withColumn("ic", _r9(F.col("ic")))
 
 
+#: The part of the surface that has SQL, and the whole of it (250 hypotheses), too large for the SQL.
 _SURFACE = ((1000, 2000), (1, 5, 30), ("l1_obi", "micro_pressure_bps", "l1_ofi", "trade_strength"))
+_WHOLE = (schema.INTERVALS_MS, schema.HORIZONS_SEC, schema.IC_FEATURES)
 _SHOWN = ", shown AS (SELECT interval_ms, horizon, round(avg(abs(CASE WHEN n < 30 THEN 0e0 ELSE coalesce(ic, 0e0) END)), 9) AS composite FROM ic GROUP BY ALL)"
 
 
@@ -455,10 +457,21 @@ def surface_peak(spark, sf):
     return research.peak(research.composite(research.surface(_ic(spark, sf, *_SURFACE))))
 
 
+@query()
+def information_surface_all(spark, sf):
+    """The surface over all intervals, horizons and features."""
+    return research.composite(research.surface(_ic(spark, sf, *_WHOLE)))
+
+
+@query()
+def surface_peak_all(spark, sf):
+    return research.peak(research.composite(research.surface(_ic(spark, sf, *_WHOLE))))
+
+
 @query()
 def surface_tests(spark, sf):
-    """Rank correlations with their p-values, corrected as one family; the t tail has no SQL form."""
-    t = research.tested(_ic(spark, sf, *_SURFACE)).withColumns({"family": F.lit("surface"), "position": F.xxhash64("interval_ms", "horizon", "feature")})
+    """Rank correlations of the whole surface with their p-values, corrected as one family; the t tail has no SQL form."""
+    t = research.tested(_ic(spark, sf, *_WHOLE)).withColumns({"family": F.lit("surface"), "position": F.xxhash64("interval_ms", "horizon", "feature")})
     return research.benjamini_hochberg(t)
 
 
