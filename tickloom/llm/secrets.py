@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -27,6 +28,7 @@ _KEYWORDS = re.compile(rb"password|passwd|secret|token|api_?key")
 #: What may be an opaque string: long enough to tell, and without the signs that part words.
 MIN_OPAQUE = 20
 _OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_OPAQUE)
+_SIGNS = "+/_=-"
 _OPAQUE_BYTES = ragged.byte_flags(b"+/_=-" + bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)))
 _UPPER_DIGIT = ragged.byte_flags([*range(48, 58), *range(65, 91)])
 _LOW_HEX = ragged.byte_flags([*range(48, 58), *range(97, 103)])
@@ -61,14 +63,33 @@ def is_opaque(string: str, ranks: str, max_ratio: float = MAX_RATIO) -> bool:
 
 
 def scan(text: str, ranks: str, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all secrets of a text in order; opaque ones touch none of the others."""
+    """(start, kind, end) of all secrets of a text in order; opaque ones overlap none of the others.
+
+    Where others cut a string, each stretch that is left and long enough is judged by itself, without signs at the cuts.
+    """
     spans = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text) if m.end() - m.start() >= 24]
-    base = sorted(spans)
+    base: list[tuple[int, int]] = []  # disjoint, in order
+    for s, _, e in sorted(spans):
+        if base and s <= base[-1][1]:
+            base[-1] = (base[-1][0], max(e, base[-1][1]))
+        else:
+            base.append((s, e))
+    k = 0
     for m in _OPAQUE.finditer(text):
-        if is_opaque(m[0], ranks, max_ratio) and not any(s < m.end() and m.start() < e for s, _, e in base):
-            spans.append((m.start(), 3, m.end()))
+        at, end = m.span()
+        while k < len(base) and base[k][1] <= at:
+            k += 1
+        cuts = [*itertools.takewhile(lambda b: b[0] < end, itertools.islice(base, k, None)), (end, end)]  # noqa: B023
+        for s, e in cuts:
+            a, b = at, s
+            if b - a >= MIN_OPAQUE:
+                a += len(text[a:b]) - len(text[a:b].lstrip(_SIGNS)) if a > m.start() else 0
+                b -= len(text[a:b]) - len(text[a:b].rstrip(_SIGNS)) if b < end else 0
+                if is_opaque(text[a:b], ranks, max_ratio):
+                    spans.append((a, 3, b))
+            at = max(at, e)
     return sorted(spans)
 
 
