@@ -134,6 +134,20 @@ def test_secrets_joined_to_others(spark):
     assert red[0] == "[SECRET]/[SECRET]" and red[2] == "x [SECRET]=[SECRET]-[SECRET] y"
 
 
+def test_secrets_of_letters_alone(spark):
+    ranks = secrets.default_ranks()
+    rng = random.Random(9)
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    strings = {kind: ["".join(rng.choice(letters) for _ in range(32)) for _ in range(200)] for kind, letters in (("mixed", abc + abc.upper()), ("lower", abc), ("upper", abc.upper()))}
+    texts = [s for kind in strings for s in strings[kind]]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.find(docs(spark, texts), ranks)).collect()}
+    caught = [sum(got[k] == "opaque:0:32" for k in range(i, i + 200)) for i in (0, 200, 400)]
+    assert caught[0] >= 198 and caught[1] >= 150 and caught[2] >= 190
+    words = ["Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "getUserNameFromDatabaseTable", "INTERNATIONALIZATIONSUPPORT", "lentokonesuihkuturbiinimoottori", "=" * 40, "przeciwdeszczowoprzeciwsloneczny", "some/long/path-of-words_in/files"]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.find(docs(spark, words), ranks)).collect()}
+    assert set(got.values()) == {""}
+
+
 def test_secrets_equal_plain_scan_of_all_texts(spark, sf):
     ranks = secrets.default_ranks()
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()

@@ -34,6 +34,8 @@ _UPPER_DIGIT = ragged.byte_flags([*range(48, 58), *range(65, 91)])
 _LOW_HEX = ragged.byte_flags([*range(48, 58), *range(97, 103)])
 #: Characters to a token under which a string counts as random.
 MAX_RATIO = 2.0
+#: The part of that ratio which holds for letters of one case without a digit.
+PLAIN_SHARE = 0.9
 #: Hexadecimal digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512; and UUIDs.
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", re.IGNORECASE)
 #: Identifiers and paths: words of letters, each with digits at its end at most, joined by signs.
@@ -54,11 +56,14 @@ def encoding(path: str):
 
 
 def is_opaque(string: str, ranks: str, max_ratio: float = MAX_RATIO) -> bool:
-    """Whether a string has letters and digits, is no digest or identifier, and falls into short tokens."""
-    if not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)):
-        return False
-    if _DIGEST.fullmatch(string) or _IDENTIFIER.fullmatch(string):
+    """Whether a string has letters, is no digest or identifier, and falls into short tokens.
+
+    Without a digit and in one case (but for its first letter) it must fall into still shorter ones, as long words can be rare.
+    """
+    if not any(c.isalpha() for c in string) or _DIGEST.fullmatch(string) or _IDENTIFIER.fullmatch(string):
         return False
+    if not any(c.isdigit() for c in string) and (string[1:].islower() or string.isupper()):
+        max_ratio *= PLAIN_SHARE
     return len(string) < max_ratio * len(encoding(ranks).encode_ordinary(string))
 
 
@@ -102,8 +107,8 @@ def _suspects(column: pa.Array) -> set[int]:
             starts, ends, row = ragged.runs(flag, bounds)
             long = ends - starts >= least
             if flags is _OPAQUE_BYTES:
-                digits = np.concatenate([[0], np.cumsum((x >= 48) & (x <= 57))])
-                long &= digits[ends] > digits[starts]
+                letters = np.concatenate([[0], np.cumsum(((x | 32) >= 97) & ((x | 32) <= 122))])
+                long &= letters[ends] > letters[starts]
             out.update((row[long] + first).tolist())
         for m in _KEYWORDS.finditer(ragged.ascii_lower(x).tobytes()):
             out.add(first + int(np.searchsorted(bounds, m.start(), "right")) - 1)
