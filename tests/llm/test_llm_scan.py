@@ -85,6 +85,27 @@ def test_licenses_equal_brute_force(spark, sf):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_licenses_inside_other_words(spark):
+    mit, apache = licenses.TEMPLATES["mit-grant"], licenses.TEMPLATES["apache-2.0-header"]
+    wrap = lambda t, n, sep: sep.join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rng = random.Random(3)
+    prose = " ".join(rng.choice(["the", "of", "alpha", "license", "software", "under", "and", "to"]) for _ in range(400))
+    texts = [
+        "Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0.",
+        "/*\n * MIT License\n *\n * Copyright (c) 2021 Foo\n *\n * " + wrap(mit, 9, "\n * ") + "\n *\n * The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n *\n * THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND\n */\nint main;\n" + "int x;\n" * 50,
+        "foo\r\n\r\n" + wrap(apache, 9, "\r\n") + "\r\n\r\n" + "\r\n".join(f"bar{k} baz" for k in range(300)),
+        f"{prose} {mit.replace('free of charge', 'gratis')} {prose}",
+        prose, "x y All rights", "word",
+    ]
+    got = {r["doc_id"]: {m["license"]: (m["common"], m["total"]) for m in r["licenses"]} for r in licenses.scan(docs(spark, texts)).collect()}
+    n = {k: len(licenses.bigrams(t)) for k, t in licenses.TEMPLATES.items()}
+    assert got[0] == {"apache-2.0": (n["apache-2.0"], 2 * n["apache-2.0"])}
+    assert got[1] == {"mit-grant": (n["mit-grant"], 2 * n["mit-grant"])}
+    assert got[2]["apache-2.0-header"] == (n["apache-2.0-header"], 2 * n["apache-2.0-header"])
+    assert set(got[3]) == {"mit-grant"} and 200 * got[3]["mit-grant"][0] > 90 * got[3]["mit-grant"][1]
+    assert not got[4] and not got[5] and not got[6]
+
+
 def test_decontamination(spark):
     words = [f"w{i}" for i in range(40)]
     bench = spark.createDataFrame([(7, " ".join(words[:12])), (3, "Short Item"), (9, None), (10, " ,. "), (7, " ".join(words[:12]))], "item_id long, text string")

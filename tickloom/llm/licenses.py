@@ -1,4 +1,4 @@
-"""License scans: lines, paragraphs and whole texts against licence templates by the Dice coefficient.
+"""License scans: lines, paragraphs, whole texts and windows of words against licence templates by the Dice coefficient.
 
 A unit and a template are compared as sets of word bigrams of their normalised text. The two
 sizes bound the coefficient, so most units never meet most templates. All of it is one SQL
@@ -82,11 +82,67 @@ def _matches(grams: Column, templates: dict[str, str], percent: int) -> Column:
     return F.filter(F.array(*out), lambda m: m.isNotNull() & (200 * m["common"] >= percent * m["total"]))
 
 
+def _embedded(words: Column, found: Column, templates: dict[str, str], percent: int) -> Column:
+    """(license, common, total) of the best window of words for each template that is not in found, as an array.
+
+    A window begins and ends with a bigram of the template and has at most as many more as its
+    bounds allow. A match has at least `least` distinct bigrams of the template, and a word that
+    is missing takes one of them at least, two words being in each; so few texts get any further.
+    """
+    sizes = {n: (len(bigrams(t)), *bounds(len(bigrams(t)), percent)) for n, t in templates.items()}
+    lit = lambda values: F.split(F.lit("\n".join(sorted(values))), "\n")
+    own = {n: set(bigrams(t)) for n, t in templates.items()}
+    terms = {n: {w for g in own[n] for w in g.split()} for n in templates}
+    names = F.transform(found, lambda m: m["license"])
+    none = F.expr("cast(array() as array<struct<license: string, common: int, total: int>>)")
+
+    def best(name: str, grams: Column, at: Column) -> Column:
+        size, least, most = sizes[name]
+        n_all = len("".join(c if c.isascii() and c.isalnum() else " " for c in templates[name]).split()) - 1
+        longest = most + n_all - size
+
+        def window(a: Column, b: Column) -> Column:
+            def judged(g: Column) -> Column:
+                common, total = F.size(F.array_intersect(g, lit(own[name]))), F.size(g) + size
+                return F.struct((2.0 * common / total).alias("dice"), F.lit(name).alias("license"), common.alias("common"), total.alias("total"))
+
+            return _through(F.array_distinct(F.slice(grams, a + 1, b - a + 1)), judged)
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(at) - least), lambda i: F.get(at, i + (least - 1)) - F.get(at, i) < longest)
+        ends = lambda i: F.filter(F.sequence(i + (least - 1), F.least(F.size(at) - 1, i + (longest - 1))), lambda j: F.get(at, j) - F.get(at, i) < longest)
+        windows = F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda j: window(F.get(at, i), F.get(at, j)))))
+        top = F.array_max(F.filter(windows, lambda m: 200 * m["common"] >= percent * m["total"]))
+        return F.when(F.size(windows) > 0, top)
+
+    def of_grams(grams: Column) -> Column:
+        def of_known(known: Column) -> Column:
+            out = []
+            for n in templates:
+                at = F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.array_contains(lit(own[n]), F.get(grams, i)))  # noqa: B023
+                fits = ~F.array_contains(names, n) & (F.size(F.array_intersect(known, lit(own[n]))) >= sizes[n][1])
+                out.append(F.when(fits, _through(at, lambda h: best(n, grams, h))))  # noqa: B023
+            some = F.filter(F.array(*out), lambda m: m.isNotNull())
+            return F.transform(some, lambda m: F.struct(m["license"].alias("license"), m["common"].alias("common"), m["total"].alias("total")))
+
+        return _through(F.array_intersect(grams, lit(set().union(*own.values()))), of_known)
+
+    def rough(known: Column) -> Column:
+        out = F.lit(False)
+        for n in templates:
+            out = out | (F.size(F.array_intersect(known, lit(terms[n]))) >= len(terms[n]) - 2 * (sizes[n][0] - sizes[n][1]))
+        return out
+
+    grams = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
+    may = (F.size(words) > 1) & _through(F.array_intersect(words, lit(set().union(*terms.values()))), rough)
+    return F.when(may, _through(grams, of_grams)).otherwise(none)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """docs with licenses: an array of (license, common, total), one for each matching unit and template.
 
     Units are the distinct lines, paragraphs (parted by blank lines) and the whole text. Dice is
-    2 * common / total. A null or empty text, or one of less than two words, matches nothing.
+    2 * common / total. A template that no unit matches is sought in windows of consecutive words as well,
+    across lines and signs, and its best window counts once. A null or empty text, or one of less than two words, matches nothing.
     Repeated rows are treated alike; other columns stay, save one named licenses, in any case.
     """
     if min(len(bigrams(t)) for t in templates.values()) == 0:
@@ -101,7 +157,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
         return F.when(fits, _through(_bigrams(w), lambda g: _matches(g, templates, percent))).otherwise(none)
 
     found = F.flatten(F.transform(units, lambda u: _through(_words(u), of_words)))
-    return docs.withColumn("licenses", F.array_sort(found))
+    whole = _through(found, lambda f: _through(_words(text), lambda w: F.concat(f, _embedded(w, f, templates, percent))))
+    return docs.withColumn("licenses", F.array_sort(whole))
 
 
 def digest(found: DataFrame) -> DataFrame:
