@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, language, licenses, packing, quality, ragged, rules, secrets, toxicity
+from tickloom.llm import decontaminate, language, licenses, packing, quality, ragged, rules, samples, secrets, toxicity
 
 SCHEMA = "doc_id long, text string, Score double, licenses string, N_WORDS string"
 ODD = [None, "", " \n\t ", "a", "Ünï", "word " * 30_000, "1234 !!", "x\ny\nx\n", "\x00\x1c", "日本語 テキスト"]
@@ -234,6 +234,12 @@ def test_language(spark, sf):
     assert {r["lang_pred"] for r in language.predict(docs(spark, ["bonjour"]), one).collect()} == {"fr"}
 
 
+def test_samples_hold_every_label(spark):
+    rows = spark.createDataFrame([(i, f"l{i % 90:02d}") for i in range(900)] + [(900 + i, "l00") for i in range(4000)], "doc_id long, lang string")
+    got = {r[0]: r[1] for r in samples.stratified(rows, "lang", 20).groupBy("lang").count().collect()}
+    assert len(got) == 90 and all(got[k] == 10 for k in got if k != "l00") and 5 <= got["l00"] <= 45
+
+
 @pytest.mark.parametrize(("op", "column"), [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers(spark, op, column):
     rng = random.Random(6)

@@ -15,12 +15,13 @@ def stratified(rows: DataFrame, label: str, per_label: int | dict, key: str = "d
     """About per_label rows of each label (or as a dict has it by label), the same ones each time; all rows of a label that has fewer.
 
     Rows are taken by a hash of key under a threshold for each label, so nothing is sorted or
-    gathered but one count a label. Labels beyond the 64 most frequent are left out.
+    gathered: the thresholds are a table of one row a label, broadcast to the rows. No label is left out.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(64).collect()
-    keep = F.lit(False)
+    if isinstance(per_label, dict):
+        wanted = F.coalesce(*[F.when(F.col(label) == F.lit(v), F.lit(n)) for v, n in per_label.items()], F.lit(0))
+    else:
+        wanted = F.lit(per_label)
+    share = F.floor(F.least(F.lit(1.0), wanted / F.col("count")) * F.lit(1 << 30))
+    below = rows.where(F.col(label).isNotNull()).groupBy(label).count().select(F.col(label).alias("_label"), share.alias("_below"))
     hashed = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30))
-    for value, n in counts:
-        wanted = per_label.get(value, 0) if isinstance(per_label, dict) else per_label
-        keep = keep | ((F.col(label) == F.lit(value)) & (hashed < int(min(1.0, wanted / n) * (1 << 30))))
-    return rows.where(keep)
+    return rows.join(F.broadcast(below), (F.col(label) == F.col("_label")) & (hashed < F.col("_below"))).drop("_label", "_below")
