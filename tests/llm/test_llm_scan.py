@@ -123,6 +123,24 @@ def test_decontamination(spark):
     assert decontaminate.find(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def test_decontamination_by_items_without_ids(spark):
+    import duckdb
+
+    words = [f"w{i}" for i in range(14)]
+    items = [(None, " ".join(words[:12])), (None, "short item"), (5, " ".join(words[2:13]))]
+    texts = ["x " + " ".join(words) + " y", "a short item b", "nothing"]
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", [list(r) for r in enumerate(texts)])
+    db.execute("create table benchmark (item_id bigint, text varchar)")
+    db.executemany("insert into benchmark values (?, ?)", [list(r) for r in items])
+    want = sorted(db.execute(decontaminate.ORACLE_SQL).fetchall())
+    assert [r[2] for r in want] == [13, 2, 0]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontaminate.BLOCK_BYTES, 20):
+        assert sorted(map(tuple, decontaminate.digest(decontaminate.find(docs(spark, texts), bench, block_bytes=block)).collect())) == want
+
+
 def test_secrets(spark):
     ranks = secrets.default_ranks()
     key = "AKIA" + "QW3RTY7UIOP5ASDF"

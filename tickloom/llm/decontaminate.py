@@ -48,14 +48,14 @@ def _hash(words: list[bytes]) -> np.ndarray:
 class WindowSet:
     """Windows of benchmark items by hash: sorted hashes for each length, and what they stand for."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.means: dict[tuple[int, int], dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
         for name, text in items:
             words = _words(text)
             n = min(window, len(words))
             for k, h in enumerate(ragged.window_hashes(_hash(words), n).tolist() if n else ()):
                 owners = self.means[n, h][tuple(words[k : k + n])]
-                if not owners or owners[-1] != name:
+                if name is not None and (not owners or owners[-1] != name):
                     owners.append(name)
         self.means = {k: dict(v) for k, v in self.means.items()}
         self.sorted: dict[int, np.ndarray] = {}
@@ -91,7 +91,7 @@ class WindowSet:
                 for k in at[known[place] == w[at]].tolist():
                     words = tuple(x[starts[j] : ends[j]].tobytes() for j in range(k, k + n))
                     names = self.means[n, int(w[k])].get(words)
-                    if names:
+                    if names is not None:
                         d = int(row[k])
                         found[d].append((k - int(first_word[d]), k - int(first_word[d]) + n))
                         owners[d].update(names)
@@ -117,17 +117,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     """docs with n_words, hits (word ranges [first, last) inside benchmark windows) and items (their ids as strings).
 
     benchmark has item_id and text; items without words have no window, shorter ones than a
-    window are one. A null or empty text has no words. Repeated rows are treated alike; other
+    window are one. An item without an id is hit like others but adds none to items. A null or empty text has no words. Repeated rows are treated alike; other
     columns stay, save those named like a new one. With no benchmark item nothing is hit.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     spark = docs.sparkSession
     out = docs
     names: list[str] = []
     for k in range(blocks):
-        some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        some = items if blocks == 1 else items.where(F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in some.collect()], window))
         last = k == blocks - 1
         fields = [T.StructField(f.name if blocks == 1 else f"{f.name}__{k}", f.dataType) for f in _FIELDS]
