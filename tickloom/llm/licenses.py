@@ -7,6 +7,9 @@ expression on each row.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +73,44 @@ def bounds(size: int, percent: int) -> tuple[int, int]:
     return -(-percent * size // (200 - percent)), (200 - percent) * size // percent
 
 
+def telling(templates: dict[str, str], percent: int) -> list[tuple[str, ...]]:
+    """Words, and pairs of short ones, of which every text that matches a template has at least one (or both of a pair).
+
+    A text without a template's chosen words lacks more of its bigrams than a match may. Long words
+    that several templates have are taken first; a word found inside a longer one counts as found.
+    """
+    own = {n: bigrams(t) for n, t in templates.items()}
+    inside = lambda w, g: any(w in v for v in g.split())
+    uses = {w: sum(any(inside(w, g) for g in grams) for grams in own.values()) for w in {w for grams in own.values() for g in grams for w in g.split()}}
+    out: dict[tuple[str, ...], None] = {}
+    for grams in own.values():
+        missing = len(grams) - bounds(len(grams), percent)[0]
+        lost: set[str] = set()
+        long = sorted({w for g in grams for w in g.split() if len(w) >= 6}, key=lambda w: (-uses[w], -len(w), w))
+        for term in [*((w,) for w in long), *(tuple(g.split()) for g in sorted(grams, key=lambda g: (-len(g), g)))]:
+            mine = {g for g in grams if (inside(term[0], g) if len(term) == 1 else g.split() == list(term))} - lost
+            if mine and len(lost) <= missing:
+                out[term] = None
+                lost |= mine
+    return list(out)
+
+
+def _gate(text: Column, templates: dict[str, str], percent: int) -> Column:
+    """Whether a text can match any template, told by searches for words, without taking the text apart.
+
+    It has one of the telling words, and for some template both words of as many bigrams as a match has.
+    """
+    def any_of(low: Column) -> Column:
+        found = lambda words: reduce(and_, (F.contains(low, F.lit(w)) for w in words))
+        enough = F.lit(False)
+        for t in templates.values():
+            own = bigrams(t)
+            enough = enough | (sum((found(g.split()).cast("int") for g in own), F.lit(0)) >= bounds(len(own), percent)[0])
+        return F.when(reduce(or_, map(found, telling(templates, percent))), enough).otherwise(False)
+
+    return _through(F.lower(text), any_of)
+
+
 def _matches(grams: Column, templates: dict[str, str], percent: int) -> Column:
     """(license, common, total) of the templates that a unit's bigrams match, as an array."""
     out = []
@@ -158,7 +199,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int =
 
     found = F.flatten(F.transform(units, lambda u: _through(_words(u), of_words)))
     whole = _through(found, lambda f: _through(_words(text), lambda w: F.concat(f, _embedded(w, f, templates, percent))))
-    return docs.withColumn("licenses", F.array_sort(whole))
+    return docs.withColumn("licenses", F.when(_gate(text, templates, percent), F.array_sort(whole)).otherwise(none))
 
 
 def digest(found: DataFrame) -> DataFrame:
