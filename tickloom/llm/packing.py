@@ -27,8 +27,8 @@ from tickloom.llm import ragged
 
 #: Windows a piece may be packed into, shortest first; the last is the longest context.
 TIERS = (512, 1024, 2048, 4096)
-#: Tokens packed together in one task. A task holds no more than these and one document.
-BLOCK_TOKENS = 4_000_000
+#: Tokens, and pieces of documents, packed together in one task. A task holds no more than these and one document.
+BLOCK_TOKENS, BLOCK_ROWS = 4_000_000, 50_000
 #: Sequences that form one training step.
 STEP_SEQUENCES = 8
 #: Chunks, and pieces of chunks, that a worker remembers.
@@ -49,7 +49,10 @@ _END = b"\xff"
 
 
 def vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]:
-    """Tokens as bytes with their ids, and the merges in order, of a byte-level BPE file with word ends."""
+    """Tokens as bytes with their ids, and the merges in order, of a byte-level BPE file with word ends.
+
+    Without the file's added tokens, which are no parts of words: see added().
+    """
     model = json.loads(Path(path).read_text())["model"]
     byte = {c: bytes([b]) for b, c in _alphabet().items()}
     suffix = model["end_of_word_suffix"]
@@ -64,6 +67,17 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]:
     return {t: i for t, i in ids.items() if t in made or len(t.removesuffix(_END)) <= 1}, pairs
 
 
+def added(path: str) -> dict[str, int]:
+    """The file's added tokens with their ids; the library finds their exact text before anything else.
+
+    Other kinds, which also take white space or go by the normalised text, are refused.
+    """
+    tokens = json.loads(Path(path).read_text())["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
+        raise ValueError("only added tokens that stand for their exact text are known")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def unreachable(path: str) -> list[bytes]:
     """Tokens that merging by the listed pairs never makes.
 
@@ -71,7 +85,7 @@ def unreachable(path: str) -> list[bytes]:
     listed pairs. Inside the span of a token, merging runs as it does on the token alone; so if
     each token comes out of its own bytes by listed pairs, no unlisted pair of neighbours ever
     joins to a token, and both give the same ids. Tokens that don't come out are never made; the
-    fast encoder leaves them out.
+    fast encoder leaves them out. This is about the words between added tokens.
     """
     ids, pairs = vocabulary(path)
     order = {p: k for k, p in enumerate(pairs)}
@@ -95,9 +109,9 @@ def unreachable(path: str) -> list[bytes]:
 class Encoder(dict):
     """White-space chunk -> little-endian uint32 ids, by the vocabulary of a tokenizer file.
 
-    The file's normaliser (NFC, lower case) and its word pattern never look across white
-    space, so a text's ids are its chunks' ids one after another, and a chunk is encoded once.
-    never: what unreachable() gives for the file.
+    A text is cut at the file's added tokens. The file's normaliser (NFC, lower case) and its word
+    pattern never look across white space, so the ids of each part are its chunks' ids one after
+    another, and a chunk is encoded once. never: what unreachable() gives for the file.
     """
 
     def __init__(self, path: str, never: list[bytes]):
@@ -106,6 +120,9 @@ class Encoder(dict):
 
         self.path = path
         self.pieces: dict[str, bytes] = {}
+        self.added = {t: array("I", [i]).tobytes() for t, i in added(path).items()}
+        # The first that begins, and of those the longest, as the library finds them.
+        self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         ids, _ = vocabulary(path)
         ranks = {t: i for t, i in ids.items() if t not in set(never)}
@@ -152,6 +169,8 @@ class Encoder(dict):
         """Ids of a whole text. U+001C to U+001F split Python strings but are no white space to the tokenizer."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.cuts is not None and "<|" in text and self.cuts.search(text):
+            return b"".join(self.added.get(part) or self.encode(part) for part in self.cuts.split(text))
         return b"".join(map(self.__getitem__, text.split()))
 
 
@@ -171,8 +190,8 @@ def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> tuple[list[list[
     A document longer than the longest window is cut into full windows and a rest. A rest goes
     to the tier of the smallest window that holds it. Each tier from the longest down opens a
     window for its longest unplaced rest, fills the gap best-fit from its own tier and the
-    shorter ones, and closes what remains by cutting the next shorter rest to size. Only the
-    last window can stay unfilled; it is cut into windows of powers of two and one padded rest.
+    shorter ones, and closes what remains by cutting the next shorter rest to size. What fills no
+    window of its tier goes into windows of smaller powers of two, so no sequence is padded.
     """
     top = tiers[-1]
     sequences: list[list[tuple[int, int, int]]] = []
@@ -192,7 +211,7 @@ def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> tuple[list[list[
         window = tier_of(rest[-1][0])
         if left < window:
             # What is left fills no window of this tier: smaller powers of two take it exactly.
-            window = next((t for t in reversed(tiers) if t <= left), 0)
+            window = 1 << (left.bit_length() - 1)
         sequence, room = [], window
         while room and rest:
             at = bisect_left(rest, (room + 1,)) - 1
@@ -207,13 +226,9 @@ def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> tuple[list[list[
                 room -= take
                 if n > take:
                     insort(rest, (n - take, d, s + take))
-        if not window:  # less than the smallest window is left: one padded sequence
-            sequence = [(d, s, n) for n, d, s in rest]
-            rest = []
         sequences.append(sequence)
-        used = sum(p[2] for p in sequence)
-        left -= used
-        sizes.append(window or used)
+        sizes.append(window)
+        left -= window
     return sequences, sizes
 
 
@@ -232,14 +247,16 @@ def steps(sizes: list[int], group: int = STEP_SEQUENCES) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, block_tokens: int = BLOCK_TOKENS, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, block_tokens: int = BLOCK_TOKENS, block_rows: int = BLOCK_ROWS, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents, packed into sequences; columns as PIECES says, ids as little-endian uint32.
 
     Each task packs its own rows block by block, so nothing is shuffled and a lost task is made
     again alone; sequence_id holds the task's number in its upper bits. A null or empty text has
     the end id alone. Repeated rows are packed as often as they come; extra columns are left out;
-    an empty table gives no piece. A tier is its window's size; a sequence that is not full
-    is a power of two or, once in a block at most, the padded remainder.
+    an empty table gives no piece; doc_id is a long, null ones stay. A tier is its window's size:
+    each sequence is a full window, or the remainder of a block as windows of smaller powers of
+    two, so nothing is padded. Where a text holds an added token of the file, as the library finds
+    them in raw text, it has that token's id.
     """
     if any(t & (t - 1) for t in tiers) or sorted(tiers) != list(tiers):
         raise ValueError("tiers must be ascending powers of two")
@@ -279,7 +296,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...
                 names.append(key)
                 ids.append(got)
                 held += len(got) // 4
-                if held >= block_tokens:
+                if held >= block_tokens or len(ids) >= block_rows:
                     yield from flush()
                     names, ids, held = [], [], 0
         if ids:
