@@ -2,8 +2,10 @@
 
 import random
 import zlib
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,7 +130,49 @@ def test_sharding_of_few_rows(spark):
     assert sharding.shard(empty, 4).count() == 0
     same = spark.createDataFrame([(1, "same")] * 50, "doc_id long, text string")
     rows = sharding.shard(same, 4).collect()
-    assert len({r["shard"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == list(range(50))
+    assert sorted(Counter(r["shard"] for r in rows).values()) == [12, 12, 13, 13]
+    for own in shards_of(rows).values():
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+
+
+def test_sharding_splits_rows_that_repeat(spark):
+    for texts, apart in (([(7, "the same row again")] * 4800, 26), ([(7, "the same row again")] * 4800 + [(None, None)] * 480, 26 + 8)):
+        rows = sharding.shard(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), 24).collect()
+        sizes = [sum(r["size"] for r in own) for own in shards_of(rows).values()]
+        assert len(sizes) == 24 and max(sizes) - min(sizes) <= apart
+        for own in shards_of(rows).values():
+            assert sorted(r["slot"] for r in own) == list(range(len(own)))
+
+
+def test_splitters_equal_sorted_prefix_sums(spark):
+    """Each splitter cuts the sorted rows where their summed sizes come nearest to its share."""
+    rng = random.Random(21)
+    word = lambda: rng.randrange(-(1 << 63), 1 << 63)
+    hot, copy = word(), word()
+    rows = [(rng.choice([word(), hot]), rng.choice([word(), copy]), word(), rng.choice([8, 9, 500, rng.randint(8, 90_000)])) for _ in range(3000)]
+    keys = spark.createDataFrame(rows, "high long, low long, row long, size long").repartition(7)
+    order = sorted(rows)
+    total = sum(r[3] for r in rows)
+    for parts, tolerance in ((6, 0.0), (24, 0.0), (192, 0.0), (24, 0.01)):
+        cuts, rounds = sharding.splitters(keys, parts, tolerance)
+        assert len(cuts) == parts - 1 and cuts == sorted(cuts) and rounds < 20
+        whole = [((h + (1 << 63)) << 128) + ((l + (1 << 63)) << 64) + r + (1 << 63) for h, l, r, _ in order]
+        sums = [0]
+        for r in order:
+            sums.append(sums[-1] + r[3])
+        for j, c in enumerate(cuts):
+            target = total * (j + 1) // parts
+            got = abs(sums[bisect_left(whole, c)] - target)
+            assert got <= max(tolerance * total / parts, min(abs(v - target) for v in sums))
+        at = sharding._split(cuts)
+        parts_of = [np.array([r[k] for r in order], np.int64) for k in range(3)]
+        assert sharding.below(parts_of, at).tolist() == [bisect_right(cuts, k) for k in whole]
+
+
+def test_sharding_of_very_long_texts(spark):
+    df = spark.createDataFrame([(0, "x" * 3_000_000), (1, "y" * 10), (2, "z" * 2_000_000), (3, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in sharding.shard(df, 3).collect()}
+    assert [rows[k]["size"] for k in range(4)] == [3_000_008, 18, 2_000_008, 8] and rows[0]["shard"] != rows[2]["shard"]
 
 
 def test_pipeline(spark, sf):
