@@ -5,6 +5,7 @@ Features are hashed byte n-grams of the lowered whole text, square-rooted and sc
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -21,6 +22,8 @@ from tickloom.llm.samples import fold, stratified
 BUCKETS, GRAMS = 1 << 13, (1, 2, 3, 4)
 #: Labelled documents of each language that the models are fitted on, and of all languages together.
 PER_LANGUAGE, MOST_ROWS = 500, 4000
+#: Languages that one model can hold: so many samples of 20 rows fit in the driver.
+MOST_LANGUAGES = 256
 #: Families of ISO 639-1 codes (fixed values); a language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb"),
@@ -60,14 +63,18 @@ def features(x: np.ndarray) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 200) -> np.ndarray:
-    """Weights (bias last) of a linear SVM with squared hinge loss; y is 1 or -1, classes weigh alike."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
+    """Weights of linear SVMs with squared hinge loss, a column for each column of y (1 or -1); classes weigh alike.
+
+    The last column of x is the constant 1, whose weight is the bias.
+    """
+    n_up = np.maximum(1, (y > 0).sum(axis=0))
+    n_down = np.maximum(1, (y < 0).sum(axis=0))
+    share = np.where(y > 0, 0.5 / n_up, 0.5 / n_down).astype(np.float32)
+    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
     v, t, step = w.copy(), 1.0, 1 / (4 + penalty)
     for _ in range(rounds):  # Nesterov's accelerated gradient
         slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (penalty * v - 2 * ((share * slack * y) @ x))
+        new = v - step * (penalty * v - 2 * (x.T @ (share * slack * y)))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v = (new + ((t - 1) / t2) * (new - w)).astype(np.float32)
         w, t = new.astype(np.float32), t2
@@ -107,15 +114,21 @@ class Model:
         return langs[best], round(score, 6)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of docs' text and non-null lang, on about per_language rows of each language.
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+    """A model of docs' text and non-null lang, on about per_language distinct documents of each language.
 
-    Rows without a letter teach nothing. With more languages than MOST_ROWS // per_language all get
-    smaller shares, of about 20 rows at least, and none is left out.
+    Rows without a letter teach nothing, rows that repeat doc_id, text and lang teach once; a null
+    doc_id is one more id. With more languages than MOST_ROWS // per_language all get smaller shares, of about 20 rows at least. Beyond
+    most_languages the most frequent ones are learned, and a warning names the others.
     """
-    labelled = docs.where("lang is not null and text is not null")
-    n_langs = max(1, labelled.select("lang").distinct().count())
-    rows = stratified(labelled.select("doc_id", "lang", "text"), "lang", min(per_language, max(20, MOST_ROWS // n_langs)))
+    counts = docs.where("lang is not null and text is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2 * most_languages)
+    langs = [r["lang"] for r in counts.collect()]
+    if len(langs) > most_languages:
+        warnings.warn(f"{most_languages} languages are learned; left out: {', '.join(langs[most_languages:])}", stacklevel=2)
+        langs = langs[:most_languages]
+    each = min(per_language, max(20, MOST_ROWS // max(1, len(langs))))
+    wanted = docs.where(F.col("lang").isin(langs) & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    rows = stratified(wanted, "lang", each, ("doc_id", "text"))
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
@@ -126,27 +139,29 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 out.append(at.astype("<u2").tobytes() + v[at].astype("<f4").tobytes())
         return [pa.array(out, pa.binary())]
 
-    got = ragged.append(rows, run, [T.StructField("features", T.BinaryType())], drop=("text",)).select("doc_id", "lang", "features").collect()
-    got = sorted((r for r in got if len(r[2])), key=lambda r: (r[0] is None, r[0], bytes(r[2])))[: max(2 * MOST_ROWS, 40 * n_langs)]
-    x = np.zeros((len(got), BUCKETS), np.float32)
-    for i, r in enumerate(got):
-        data = bytes(r[2])
+    got = ragged.append(rows, run, [T.StructField("features", T.BinaryType())], drop=("text",)).select("lang", "features").collect()
+    got = sorted((r["lang"], bytes(r["features"])) for r in got if len(r["features"]))
+    x = np.zeros((len(got), BUCKETS + 1), np.float32)
+    x[:, -1] = 1
+    for i, (_, data) in enumerate(got):
         n = len(data) // 6
         x[i, np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f4", n, 2 * n)
-    lang = np.array([r[1] for r in got], dtype=object)
+    lang = np.array([g[0] for g in got], dtype=object)
     langs = sorted(set(lang))
     families = sorted({family(v) for v in langs})
     members = [[v for v in langs if family(v) == f] for f in families]
     group = np.array([families.index(family(v)) for v in lang], np.int64)
-    columns = [fit_svm(x, np.where(group == f, 1, -1).astype(np.float32)) for f in range(len(families))] if len(families) > 1 else [np.zeros(BUCKETS + 1, np.float32)] * len(families)
+    if len(families) > 1:
+        weights = [fit_svm(x, np.where(group[:, None] == np.arange(len(families)), 1, -1).astype(np.float32))]
+    else:
+        weights = [np.zeros((BUCKETS + 1, len(families)), np.float32)]
     pairs = []
     for f, own in enumerate(members):
         for a, b in combinations(range(len(own)), 2):
-            some = (lang == own[a]) | (lang == own[b])
-            columns.append(fit_svm(x[some], np.where(lang[some] == own[a], 1, -1).astype(np.float32)))
+            some = np.flatnonzero((lang == own[a]) | (lang == own[b]))
+            weights.append(fit_svm(x[some], np.where(lang[some] == own[a], 1, -1).astype(np.float32)[:, None]))
             pairs.append((f, a, b))
-    weights = np.stack(columns, axis=1) if columns else np.zeros((BUCKETS + 1, 0), np.float32)
-    return Model(families, members, weights, pairs)
+    return Model(families, members, np.concatenate(weights, axis=1), pairs)
 
 
 def predict(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFrame:

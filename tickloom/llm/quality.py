@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import ragged
-from tickloom.llm.samples import fold, stratified
+from tickloom.llm.samples import collected, fold, labelled
+from tickloom.llm.scratch import Scratch
 
 #: Hash buckets.
 BUCKETS = 1 << 18
-#: Labelled documents that the model is fitted on, by label, passes over them, and the most bytes of one.
+#: Labelled documents that the model is fitted on, by label, passes over them, and the most bytes of all those of a label.
 #: Twice as many good ones: a text too short to tell is taken as good.
-PER_LABEL, PASSES, MOST_BYTES = {0: 1500, 1: 3000}, 3, 20_000
+PER_LABEL, PASSES, MOST_BYTES = {0: 1500, 1: 3000}, 3, 12_000_000
 #: FTRL-proximal: learning rate, its smoothing, and the two regularisers.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.1
 #: Shares of n-grams are scaled by this, so that weights stay small.
@@ -92,7 +93,7 @@ def train(texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int
     for t in texts:
         x, bounds = ragged.raw(pa.array([t], pa.string()))
         at, count = np.unique(features(x, bounds)[0], return_counts=True)
-        examples.append((np.append(at, BUCKETS), np.append(SCALE * count / (PRIOR + count.sum()), 1.0)))
+        examples.append((np.append(at, BUCKETS).astype(np.int32), np.append(SCALE * count / (PRIOR + count.sum()), 1.0).astype(np.float32)))
 
     def weights(at: np.ndarray) -> np.ndarray:
         zs = z[at]
@@ -113,16 +114,15 @@ def train(texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, per_label: dict[int, int] = PER_LABEL, most_bytes: int = MOST_BYTES) -> Model:
-    """A model of labels' column label (0 or 1, by doc_id) on about per_label documents, of most_bytes at most.
+    """A model of labels' column label (0 or 1, by doc_id) on about per_label documents, of most_bytes a label at most.
 
-    A document labelled twice takes the higher label; null labels and documents without text
-    teach nothing. With one label only, its score is the same for every text.
+    A document labelled twice takes the higher label; null labels, null ids and documents without
+    text teach nothing, rows that repeat id and text teach once. Length decides nothing: where the
+    bytes don't suffice there are fewer documents. With no label or one only, the score is the same for every text.
     """
-    marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    chosen = stratified(marked, "label", per_label)
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id").collect()
-    rows = sorted(((r["doc_id"], r["text"], r["label"]) for r in rows), key=lambda r: (r[0], r[1]))[: 2 * sum(per_label.values())]
-    return train([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
+    scratch = Scratch(docs.sparkSession)
+    rows = collected(labelled(scratch, docs, labels, label, per_label, strict=False), "label", ("doc_id", "text"), per_label, most_bytes)
+    return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFrame:

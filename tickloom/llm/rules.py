@@ -14,7 +14,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.samples import fold, stratified
+from tickloom.llm.samples import fold, labelled
+from tickloom.llm.scratch import Scratch
 
 #: Characters that part words, and those counted as symbols.
 _WHITE, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -77,8 +78,8 @@ def _through(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """docs' doc_id with the base statistics and the ratios that rules are made of.
+def statistics(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """docs' doc_id, and columns named in also, with the base statistics and the ratios that rules are made of.
 
     Extra columns are left out; a null or empty text has zeros; repeated rows give repeated rows.
     """
@@ -90,7 +91,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "n_chars": letters.cast("long"),
         "n_distinct": F.size(F.array_distinct(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))).cast("long"),
     }
-    out = docs.select("doc_id", *[c.alias(n) for n, c in (base() | more).items()])
+    out = docs.select("doc_id", *also, *[c.alias(n) for n, c in (base() | more).items()])
     per = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))
     return out.withColumns({
         "symbol_share": per("n_symbols", "n_chars"),
@@ -192,13 +193,13 @@ def learn(rows: list[dict]) -> list[tuple[Condition, ...]]:
 def fit(docs: DataFrame, labels: DataFrame, label: str, per_label: int = PER_LABEL) -> list[tuple[Condition, ...]]:
     """Rules learned from labels' column label (1 good, 0 bad, by doc_id) on about per_label documents of each.
 
-    A document labelled twice takes the lower label; null labels teach nothing.
+    A document labelled twice takes the lower label; null labels, null ids and null texts teach
+    nothing, rows that repeat id and text teach once. Without documents of both labels there is no rule.
     """
-    marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("label"))
-    chosen = stratified(marked, "label", per_label)
-    some = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = statistics(some).join(chosen, "doc_id").select("doc_id", "label", *FEATURES).collect()
-    return learn(sorted((r.asDict() for r in rows[: 4 * per_label]), key=lambda r: tuple(r.values())))
+    per = {0: per_label, 1: per_label}
+    some = labelled(Scratch(docs.sparkSession), docs, labels, label, per, strict=True)
+    rows = statistics(some, ("label",)).select("label", *FEATURES).collect()  # near per_label rows a label, as distinct ones are drawn
+    return learn(sorted((r.asDict() for r in rows), key=lambda r: tuple(r.values())))
 
 
 def verdict(rules: list[tuple[Condition, ...]]) -> Column:
@@ -213,7 +214,12 @@ def verdict(rules: list[tuple[Condition, ...]]) -> Column:
 
 
 def judge(docs: DataFrame, rules: list[tuple[Condition, ...]]) -> DataFrame:
-    """doc_id, the base statistics, base_failed, kept and rule (the number of the rule that took the row, or 0)."""
+    """doc_id, the base statistics, base_failed, kept and rule (the number of the rule that took the row, or 0).
+
+    A null or empty text has no words, so it fails the base and is not kept; a null doc_id stays.
+    Repeated rows come back as often, with the same verdict; a value equal to a rule's cut is not
+    above it. Other columns of docs are left out; an empty table gives no row.
+    """
     return statistics(docs).withColumns({
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         "rule": verdict(rules),

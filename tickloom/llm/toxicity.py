@@ -17,16 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm import ragged
-from tickloom.llm.samples import fold, stratified
+from tickloom.llm.samples import collected, fold, labelled
+from tickloom.llm.scratch import Scratch
 
 #: Rows of the embedding table, its width, and the n-gram lengths in bytes (a word's edges count).
 BUCKETS, WIDTH, GRAMS = 1 << 18, 8, (3, 4, 5)
 #: Words in a passage.
 PASSAGE = 3
-#: Labelled documents that the model is fitted on, by label, and the most bytes of one.
-PER_LABEL, MOST_BYTES = {0: 1200, 1: 600}, 8_000
+#: Labelled documents that the model is fitted on, by label, and the most bytes of all those of a label.
+PER_LABEL, MOST_BYTES = {0: 4000, 1: 2000}, 12_000_000
 #: Rounds of full-batch training: on means of whole documents first, then on worst passages.
-WARM, ROUNDS = 12, 45
+WARM, ROUNDS = 8, 45
 
 _WORD = ragged.WORDLIKE.copy()
 _WORD[0x2A] = True  # an asterisk hides letters
@@ -106,12 +107,43 @@ class Model:
         return np.round(np.concatenate(out), 9) if out else np.zeros(0)
 
 
+@dataclass
+class _Words:
+    """Training texts as numbers of distinct words, each with its bag of subwords: far less than a bag for each text."""
+
+    word: np.ndarray  # of each place in the texts
+    count: np.ndarray  # places of each text
+    bucket: np.ndarray
+    owner: np.ndarray  # the word of each bucket
+    n_subwords: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> _Words:
+        hashes, counts, spelling = [], [], {}
+        for _, x, bounds in ragged.slices(pa.array(texts, pa.large_string())):
+            x = ragged.latin_lower(x)
+            flag = _WORD[x]
+            starts, ends, row = ragged.runs(flag, bounds)
+            h = ragged.run_hashes(x, flag, starts, ends)
+            hashes.append(h)
+            counts.append(np.bincount(row, minlength=len(bounds) - 1))
+            values, at = np.unique(h, return_index=True)
+            for v, k in zip(values.tolist(), at.tolist(), strict=True):
+                if v not in spelling:
+                    spelling[v] = x[starts[k] : ends[k]].tobytes()
+        known = np.array(sorted(spelling), np.uint64)
+        word = np.searchsorted(known, np.concatenate(hashes) if hashes else known).astype(np.int32)
+        x, bounds = ragged.raw(pa.array([spelling[v] for v in known.tolist()], pa.binary()))
+        b = bags(x, bounds)
+        owner = (np.searchsorted(b.starts, b.place, "right") - 1).astype(np.int32)
+        return cls(word, np.concatenate(counts) if counts else np.zeros(0, np.int64), b.bucket, owner, np.bincount(owner, minlength=known.size))
+
+
 def train(texts: list[str], labels: np.ndarray, rate: float = 0.15, seed: int = 7) -> Model:
     """Fit table and softmax jointly by full-batch AdaGrad; both labels weigh alike."""
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 5.0 if len(labels) and labels[0] else -5.0)
-    x, bounds = ragged.raw(pa.array(texts, pa.string()))
-    b = bags(x, bounds)
+    w = _Words.of(texts)
     y = labels.astype(np.float64)
     weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
     rng = np.random.default_rng(seed)
@@ -119,26 +151,34 @@ def train(texts: list[str], labels: np.ndarray, rate: float = 0.15, seed: int =
     soft = rng.normal(0, 1, WIDTH).astype(np.float32)  # difference of the two classes' weights
     bias = 0.0
     seen_t, seen_s, seen_b = np.full((BUCKETS, WIDTH), 1e-10, np.float32), np.full(WIDTH, 1e-10, np.float32), 1e-10
-    filled = np.flatnonzero(b.count)
-    first = (np.cumsum(b.count) - b.count)[filled]
-    counted = b.counted
+    filled = np.flatnonzero(w.count)
+    count = w.count[filled]
+    first = np.cumsum(count) - count
+    counted = np.concatenate([[0], np.cumsum(w.n_subwords[w.word])])
+    end = np.repeat(first + count, count)
+    upto = np.minimum(np.arange(w.word.size) + PASSAGE, end)  # a passage's words: from its place to here
     for round_ in range(ROUNDS):
         value = (table @ soft).astype(np.float64)
+        of_word = np.bincount(w.owner, value[w.bucket], w.n_subwords.size)
+        summed = np.concatenate([[0.0], np.cumsum(of_word[w.word])])
         if round_ < WARM:
-            lo, hi = b.starts[first], b.ends[first + b.count[filled] - 1]
-            summed = np.concatenate([[0.0], np.cumsum(np.bincount(b.place, value[b.bucket], b.size))])
+            lo, hi = first, first + count
             z = (summed[hi] - summed[lo]) / np.maximum(1, counted[hi] - counted[lo]) + bias
         else:
-            z, lo, hi = worst(b, value, bias)
+            each = (summed[upto] - summed[:-1]) / np.maximum(1, counted[upto] - counted[:-1]) + bias
+            z = np.maximum.reduceat(each, first) if first.size else np.zeros(0)
+            at = np.flatnonzero(each == np.repeat(z, count))
+            lo = at[np.searchsorted(at, first)]  # the first of equals
+            hi = upto[lo]
         slope = weight[filled] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[filled])
         # Each subword inside the passage chosen in its text gets the text's slope.
-        change = np.zeros(b.size + 1)
+        change = np.zeros(w.word.size + 1)
         np.add.at(change, lo, slope / np.maximum(1, counted[hi] - counted[lo]))
         np.add.at(change, hi, -slope / np.maximum(1, counted[hi] - counted[lo]))
-        each = np.cumsum(change[:-1])
-        each[np.abs(each) < 1e-15] = 0
-        on = each[b.place] != 0
-        rows = np.bincount(b.bucket[on], each[b.place[on]], BUCKETS).astype(np.float32)
+        passed = np.cumsum(change[:-1])
+        passed[np.abs(passed) < 1e-15] = 0
+        on = np.flatnonzero(passed)
+        rows = np.bincount(w.bucket, np.bincount(w.word[on], passed[on], w.n_subwords.size)[w.owner], BUCKETS).astype(np.float32)
         used = np.flatnonzero(rows)
         grad_t = rows[used, None] * soft
         grad_s = rows[used] @ table[used]
@@ -153,16 +193,15 @@ def train(texts: list[str], labels: np.ndarray, rate: float = 0.15, seed: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, per_label: dict[int, int] = PER_LABEL, most_bytes: int = MOST_BYTES) -> Model:
-    """A model of labels' column label (0 or 1, by doc_id) on about per_label documents, of most_bytes at most.
+    """A model of labels' column label (0 or 1, by doc_id) on about per_label documents, of most_bytes a label at most.
 
-    A document labelled twice takes the higher label; null labels and documents without text
-    teach nothing. With one label only, its score is the same for every text.
+    A document labelled twice takes the higher label; null labels, null ids and documents without
+    text teach nothing, rows that repeat id and text teach once. Length decides nothing: where the
+    bytes don't suffice there are fewer documents. With no label or one only, the score is the same for every text.
     """
-    marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    chosen = stratified(marked, "label", per_label)
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id").collect()
-    rows = sorted(((r["doc_id"], r["text"], r["label"]) for r in rows), key=lambda r: (r[0], r[1]))[: 2 * sum(per_label.values())]
-    return train([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
+    scratch = Scratch(docs.sparkSession)
+    rows = collected(labelled(scratch, docs, labels, label, per_label, strict=False), "label", ("doc_id", "text"), per_label, most_bytes)
+    return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFrame:
