@@ -119,7 +119,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     fields = [T.StructField("rep", docs.schema["doc_id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("spread", T.ArrayType(T.ShortType()))]
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for b in batches for piece in ragged.pieces(b)):
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             sets = shingles(batch.column(1), words)
@@ -131,7 +131,6 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             spreads = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SPREAD), pa.array(spread.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(values.view(np.int64))), spreads], names=["rep", "shingles", "spread"])
 
-    ragged.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").alias("rep"), "text").where("rep is not null").select("rep", "text", slot.alias("slot")).mapInArrow(run, T.StructType(fields))
 
 

@@ -289,7 +289,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...
             for at in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 20_000], k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
-        for batch in batches:
+        for batch in (piece for b in batches for piece in ragged.pieces(b)):
             keys = ragged.column(batch, "doc_id").to_pylist()
             for key, text in zip(keys, ragged.column(batch, "text"), strict=True):
                 got = enc.encode(text.as_py() or "") + end
@@ -302,7 +302,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...
         if ids:
             yield from flush()
 
-    ragged.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 

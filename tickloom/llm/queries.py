@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontaminate, language, licenses, neardup, packing, quality, rules, secrets, sharding, toxicity
+from tickloom.llm import decontaminate, language, licenses, neardup, packing, quality, ragged, rules, secrets, sharding, toxicity
+
+
+def _in_small_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ragged.small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language.query,
@@ -20,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": neardup.query,
     "op10_packing": packing.query,
 }
+QUERIES = {name: _in_small_batches(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE_SQL,

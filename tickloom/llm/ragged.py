@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 #: Bytes worked on at a time, so that temporary arrays stay small whatever an Arrow batch holds.
 SLICE_BYTES = 1 << 20
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch that an operator takes at once, and that Spark is asked for.
+PIECE_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
@@ -138,6 +138,13 @@ VISIBLE = ~byte_flags([0x20, *range(0x09, 0x0E)])
 WORDLIKE = byte_flags([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
+def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows of about limit bytes, without a copy, so that what is made of a run stays small; nothing of an empty one."""
+    step = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def append(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with the columns fn makes of each Arrow batch, without those named in drop.
 
@@ -151,18 +158,15 @@ def append(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fiel
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + fn(batch), names=names)
+            for piece in pieces(batch):
+                yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index(c)) for c in kept] + fn(piece), names=names)
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let no Arrow batch of the session hold more than BATCH_ROWS rows: texts can be long, and each is copied several times."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """For programs, not operators: let Spark cut Arrow batches at BATCH_BYTES, as texts can be long; its own bound is 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

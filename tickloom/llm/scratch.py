@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[",)) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     global _own
     _own = _own or tempfile.mkdtemp(prefix="tickloom-")
     return _own
