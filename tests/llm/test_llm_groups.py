@@ -83,13 +83,32 @@ def test_least_matches():
     assert 0 < neardup.least_matches(80) < neardup.least_matches(85) < neardup.COORDINATES
 
 
-def test_bitmap_holds_its_ids(spark):
+def test_marks_hold_their_ids(spark, monkeypatch):
     ids = spark.range(0, 5000, 7)
-    bits = 1 << 20
-    bitmap = neardup._bitmap(ids, bits)
-    for at in (r[0] for r in ids.select(F.pmod(F.xxhash64("id"), F.lit(bits))).collect()):
-        assert bitmap[at >> 3] >> (at & 7) & 1
-    assert sum(bin(b).count("1") for b in bitmap.tolist()) <= 715
+    for most, others in ((1 << 28, 20), (1 << 16, 300)):
+        monkeypatch.setattr(neardup, "MOST_BITS", most)
+        got = neardup._marked(spark.range(20_000), "id", ids).where("_near_marked").select("id").collect()
+        marked = {r[0] for r in got}
+        assert set(range(0, 5000, 7)) <= marked and len(marked) <= 715 + others
+    assert neardup._marked(spark.range(50), "id", spark.range(0)).where("_near_marked").count() == 0
+
+
+@pytest.mark.parametrize("limits", [(64, 4096, 64), (2, 4096, 3), (2, 5, 1)])
+def test_near_duplicates_in_any_parts(spark, monkeypatch, limits):
+    """Hot classes and tokens dealt into parts give the same links."""
+    for name, value in zip(("PAIRS", "MOST_HOT", "MEETING"), limits, strict=True):
+        monkeypatch.setattr(neardup, name, value)
+    rows = corpus(5)[:220]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.groups(df, 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_distinct_keeps_rows_of_kept_ids(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "A b c d e f", "z"), (None, "a b c d e f", "n"), (3, None, "k"), (4, "other words stand here now", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _marked string")
+    assert sorted(map(tuple, neardup.distinct(df).collect()), key=str) == sorted([rows[0], rows[1], rows[4], rows[5]], key=str)
+    assert neardup.distinct(df.limit(0)).columns == df.columns
 
 
 def test_components(spark):

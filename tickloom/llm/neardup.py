@@ -38,6 +38,8 @@ COORDINATES = 48
 MISS = 1e-6
 #: Ranges in which a set's shingles are counted, and the most bits of a filter of ids (32 MB).
 SPREAD, MOST_BITS = 128, 1 << 28
+#: Pairs of one class that are joined in one piece, unless a MOST_HOT-th of all is more; members of a posting that meet the others in one piece.
+PAIRS, MOST_HOT, MEETING = 64, 4096, 64
 #: Words of a shingle and percent of similarity, where no contract sets others.
 WORDS, PERCENT = 5, 80
 
@@ -109,19 +111,13 @@ def signatures(docs: DataFrame, words: int, k: int = COORDINATES) -> DataFrame:
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """rep, shingles (the sorted hashes of the full set) and spread (how many of them fall into each of SPREAD ranges).
 
-    Of docs those whose id is in ids (column id), and few others: a fixed-size filter of the ids
-    is sent to where the texts are, so no text is shuffled. Joins on rep leave out the others.
+    Of docs those whose id is in ids (column id), and few others: a filter of the ids of bounded
+    size is sent to where the texts are, so no text is shuffled. Joins on rep leave out the others.
     """
-    n = ids.count()
-    bits = min(MOST_BITS, max(1 << 20, 1 << (16 * n).bit_length()))
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(ids, bits))
-    slot = F.pmod(F.xxhash64("rep"), F.lit(bits))
     fields = [T.StructField("rep", docs.schema["doc_id"].dataType), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("spread", T.ArrayType(T.ShortType()))]
 
     def run(batches):
         for batch in (piece for b in batches for piece in ragged.pieces(b)):
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             sets = shingles(batch.column(1), words)
             bounds = pa.array(np.concatenate([[0], np.cumsum([s.size for s in sets])]).astype(np.int32))
             values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -131,18 +127,25 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             spreads = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SPREAD), pa.array(spread.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(values.view(np.int64))), spreads], names=["rep", "shingles", "spread"])
 
-    return docs.select(F.col("doc_id").alias("rep"), "text").where("rep is not null").select("rep", "text", slot.alias("slot")).mapInArrow(run, T.StructType(fields))
+    some = _marked(docs.select(F.col("doc_id").alias("rep"), "text").where("rep is not null"), "rep", ids)
+    return some.where("_near_marked").select("rep", "text").mapInArrow(run, T.StructType(fields))
 
 
-def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    """The hashes of ids, modulo bits, as set bits."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows with _near_marked: true if key is one of ids (column id), and for few others.
+
+    The hashes of ids, modulo a number of bits, are set bits; blocks of them are broadcast, MOST_BITS
+    (32 MB) in all at most. Beyond that more of the others are marked, none less of the ids.
+    """
+    bits = min(MOST_BITS, max(1 << 20, 1 << (16 * ids.count()).bit_length()))
     block = 1 << 15
-    parts = ids.select(slot.alias("slot")).groupBy(F.expr(f"slot div {block}").alias("block")).agg(F.bitmap_construct_agg(F.col("slot") % block).alias("bitmap"))
-    out = np.zeros(bits >> 3, np.uint8)
-    for r in parts.collect():
-        out[r["block"] * block >> 3 : (r["block"] + 1) * block >> 3] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
-    return out
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    blocks = ids.select(slot("id").alias("slot")).groupBy(F.expr(f"slot div {block}").alias("_near_block")).agg(F.bitmap_construct_agg(F.col("slot") % block).alias("_near_bitmap"))
+    at = F.col("_near_slot") % block
+    byte = F.conv(F.hex(F.substring("_near_bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
+    placed = rows.withColumn("_near_slot", slot(key)).withColumn("_near_block", F.expr(f"_near_slot div {block}"))
+    return placed.join(F.broadcast(blocks), "_near_block", "left").withColumn("_near_marked", F.coalesce(is_set, F.lit(False))).drop("_near_block", "_near_slot", "_near_bitmap")
 
 
 def _postings(classes: DataFrame, least: int) -> DataFrame:
@@ -154,19 +157,36 @@ def _postings(classes: DataFrame, least: int) -> DataFrame:
     return ranked.join(classes.select("rep", "n", "sig"), "rep")
 
 
+def _joined(pairs: DataFrame, table: DataFrame, key: str, other: str, total: int) -> DataFrame:
+    """pairs joined with table on key, the pairs of a key that has many dealt out by `other`.
+
+    Keys with more than PAIRS pairs, and more than a MOST_HOT-th of the total, are hot: fewer than
+    MOST_HOT, so their table is broadcast. Their rows of table are repeated for each part.
+    """
+    limit = max(PAIRS, total // MOST_HOT)
+    hot = F.broadcast(pairs.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = pairs.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("_parts")
+    spread = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(spread, [key, "_part"]).drop("_part")
+
+
 def _counted(pairs: DataFrame, posted: DataFrame, least: int, percent: int) -> DataFrame:
     """The pairs whose sizes allow the similarity and that share enough coordinates."""
+    total = pairs.count()
     one = posted.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     two = posted.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.join(one, "a").join(two, "b").where(sized).where(same >= least).select("a", "b", "n_a", "n_b")
+    return _joined(_joined(pairs, one, "a", "b", total), two, "b", "a", total).where(sized).where(same >= least).select("a", "b", "n_a", "n_b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full shingle sets have the similarity."""
-    sets = sets.select("rep", "shingles")
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")), "b")
+    total = pairs.count()
+    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a"))
+    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b"))
+    both = _joined(_joined(pairs, one, "a", "b", total), two, "b", "a", total)
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct()
 
@@ -185,7 +205,7 @@ def _may_link(percent: int):
     smaller count. The cheap tests come first.
     """
     enough = lambda overlap: 100 * overlap >= percent * (F.col("n_a") + F.col("n_b") - overlap)
-    met_here = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("token")
+    met_here = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("token")["token"]
     spread = F.aggregate(F.zip_with("spread_a", "spread_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, v: s + v)
     capped = F.greatest("n_a", "n_b") >= 32767  # counts this large may have been cut
     return (F.col("component_a") != F.col("component_b")) & enough(F.least("common_a", "common_b")) & met_here & (capped | enough(spread))
@@ -195,8 +215,8 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int =
     """doc_id, n_shingles, component_id, kept: the component of each document under links of similar shingle sets.
 
     docs has doc_id and text; doc_id names one text, and rows that repeat it come back as often,
-    each in the component of its own text. A null or empty text has no shingles, is linked with
-    nothing and is kept. Texts of equal shingle sets are always linked. Ties between class
+    each in the component of its own text. doc_id is a whole number. A null or empty text has no
+    shingles, is linked with nothing and is kept. Texts of equal shingle sets are always linked. Ties between class
     representatives go to the smallest doc_id; a row without a doc_id is never kept. Other columns of docs are left out; an empty
     table gives no row. component_id is the smallest doc_id reachable.
     """
@@ -208,7 +228,7 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int =
     postings = posted.select("rep", "typical", F.explode("prefix").alias("token"))
 
     hubs = postings.groupBy("token").agg(F.max_by("rep", F.struct("typical", -F.col("rep"))).alias("hub"), F.count("*").alias("n_posted")).where("n_posted > 1")
-    met = postings.join(hubs, "token").where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    met = scratch.write(postings.join(hubs, "token").where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
     first = scratch.write(_counted(met, posted, least, percent))
     ends = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
     links = scratch.write(_confirmed(first, shingle_sets(docs, ends, words), percent))
@@ -223,19 +243,38 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int =
     able = _common(sets).where(100 * F.col("common") >= percent * F.col("n")).join(posted.select("rep", "prefix"), "rep")
     members = scratch.write(placed.join(able, "rep"))
     named = lambda t, x: t.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n", "common", "prefix", "spread")])
-    odd, every = named(members.where("component != main"), "a"), named(members, "b")
+    # Where many meet under one token, those outside its main component are dealt into parts, and each part meets all.
+    parts_of = members.groupBy("token").agg(F.ceil(F.count_if(F.col("component") != F.col("main")) / MEETING).cast("int").alias("n_parts")).where("n_parts > 0")
+    meeting = members.join(parts_of, "token")
+    odd = named(meeting.where("component != main").withColumn("token", F.struct("token", F.pmod(F.xxhash64("rep"), F.col("n_parts")).cast("int").alias("part"))), "a")
+    every = named(meeting.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).withColumn("token", F.struct("token", "part")), "b")
     across = odd.join(every, "token").where(_may_link(percent)).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    across = scratch.write(across)
     second = scratch.write(_counted(across, posted, least, percent))
     more = scratch.write(_confirmed(second, sets, percent))
     parts = components(scratch, links.union(more))
 
     of_class = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), F.col("rep").alias("id")).join(parts, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
-    scratch.drop(posted, placed, sets, members, first, second, links, more)
+    scratch.drop(posted, placed, sets, members, met, first, across, second, links, more)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def distinct(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, with all columns.
+
+    Rows that repeat such a doc_id stay together; rows without a doc_id go. Texts are not
+    shuffled, save those of ids that go and of few others: a filter of bounded size tells the rest apart.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.write(groups(docs, words, percent).select("doc_id", "kept"))
+    gone = scratch.write(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("kept").alias("kept")).where("not kept").select("id"))
+    marked = _marked(docs.where("doc_id is not null"), "doc_id", gone)
+    clear, doubtful = marked.where("not _near_marked").drop("_near_marked"), marked.where("_near_marked").drop("_near_marked")
+    return clear.select(*docs.columns).unionByName(doubtful.join(gone.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").select(*docs.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: components of all documents, on shingles of 3 words with a similarity of 85 percent."""
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
