@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import neardup, sharding
+from tickloom.llm import marks, neardup, sharding
 from tickloom.llm.components import components
 from tickloom.llm.scratch import Scratch
 
@@ -86,11 +86,11 @@ def test_least_matches():
 def test_marks_hold_their_ids(spark, monkeypatch):
     ids = spark.range(0, 5000, 7)
     for most, others in ((1 << 28, 20), (1 << 16, 300)):
-        monkeypatch.setattr(neardup, "MOST_BITS", most)
-        got = neardup._marked(spark.range(20_000), "id", ids).where("_near_marked").select("id").collect()
+        monkeypatch.setattr(marks, "MOST_BITS", most)
+        got = marks.marked(spark.range(20_000), "id", ids).where(marks.MARKED).select("id").collect()
         marked = {r[0] for r in got}
         assert set(range(0, 5000, 7)) <= marked and len(marked) <= 715 + others
-    assert neardup._marked(spark.range(50), "id", spark.range(0)).where("_near_marked").count() == 0
+    assert marks.marked(spark.range(50), "id", spark.range(0)).where(marks.MARKED).count() == 0
 
 
 @pytest.mark.parametrize("limits", [(64, 4096, 64), (2, 4096, 3), (2, 5, 1)])
@@ -106,7 +106,7 @@ def test_near_duplicates_in_any_parts(spark, monkeypatch, limits):
 
 def test_distinct_keeps_rows_of_kept_ids(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "A b c d e f", "z"), (None, "a b c d e f", "n"), (3, None, "k"), (4, "other words stand here now", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, _marked string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, _tickloom string")
     assert sorted(map(tuple, neardup.distinct(df).collect()), key=str) == sorted([rows[0], rows[1], rows[4], rows[5]], key=str)
     assert neardup.distinct(df.limit(0)).columns == df.columns
 

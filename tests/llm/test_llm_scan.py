@@ -145,22 +145,56 @@ def test_decontamination(spark):
     assert decontaminate.find(docs(spark, texts).limit(0), bench).count() == 0
 
 
-def test_decontamination_by_items_without_ids(spark):
+def sql_rows(spark, sql, **tables):
+    """What DuckDB gives for the SQL on these rows, (doc_id or item_id, text) each."""
     import duckdb
 
-    words = [f"w{i}" for i in range(14)]
-    items = [(None, " ".join(words[:12])), (None, "short item"), (5, " ".join(words[2:13]))]
-    texts = ["x " + " ".join(words) + " y", "a short item b", "nothing"]
     db = duckdb.connect()
-    db.execute("create table documents (doc_id bigint, text varchar)")
-    db.executemany("insert into documents values (?, ?)", [list(r) for r in enumerate(texts)])
-    db.execute("create table benchmark (item_id bigint, text varchar)")
-    db.executemany("insert into benchmark values (?, ?)", [list(r) for r in items])
-    want = sorted(db.execute(decontaminate.ORACLE_SQL).fetchall())
-    assert [r[2] for r in want] == [13, 2, 0]
+    for name, rows in tables.items():
+        db.execute(f"create table {name} ({'doc_id' if name == 'documents' else 'item_id'} bigint, text varchar)")
+        if rows:
+            db.executemany(f"insert into {name} values (?, ?)", [list(r) for r in rows])
+    return sorted(db.execute(sql).fetchall(), key=str)
+
+
+def test_decontamination_equals_its_sql(spark, sf, monkeypatch):
+    """Random windows of few words, items without ids, repeated and short ones, in one block and in some fifty."""
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 25)
+    rng = random.Random(17)
+    word = lambda: rng.choice(["a", "b", "A", "été", "9"])
+    text = lambda n: "".join(word() + rng.choice([" ", ", ", "-", "\n"]) for _ in range(n))
+    items = [(None, text(12)), (None, "short item"), (5, text(11)), (5, text(300)), (6, ""), (7, None)] + [(k % 40, text(rng.choice([1, 3, 10, 14, 60]))) for k in range(60)]
+    items += items[:3]
+    texts = [*ODD, *[text(rng.choice([2, 9, 30, 400])) for _ in range(60)], "x " + items[3][1] * 3, "a short ITEM b"]
+    want = sql_rows(spark, decontaminate.ORACLE_SQL, documents=list(enumerate(texts)), benchmark=items)
+    assert 20 < sum(r[5] for r in want) < len(want)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (decontaminate.BLOCK_BYTES, 20):
-        assert sorted(map(tuple, decontaminate.digest(decontaminate.find(docs(spark, texts), bench, block_bytes=block)).collect())) == want
+    for block in (decontaminate.BLOCK_BYTES, 100):
+        found = decontaminate.find(docs(spark, texts), bench, block_bytes=block)
+        assert found.columns == ["doc_id", "text", "Score", "licenses", "n_words", "hits", "items"]
+        assert sorted(map(tuple, decontaminate.digest(found).collect()), key=str) == want
+    real = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    tests = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    got = decontaminate.query(spark, sf).collect()
+    assert sorted(map(tuple, got), key=str) == sql_rows(spark, decontaminate.ORACLE_SQL, documents=real, benchmark=tests)
+
+
+def test_windows_of_equal_hashes_are_told_apart(monkeypatch):
+    """With hashes of 3 bits nearly all windows collide; only true ones are hit."""
+    real = ragged.window_hashes
+    monkeypatch.setattr(ragged, "window_hashes", lambda h, n: real(h, n) & np.uint64(7))
+    rng = random.Random(18)
+    pieces = [(str(k), " ".join(rng.choice("abcdef") for _ in range(14)).encode()) for k in range(40)]
+    known = decontaminate.WindowSet([*pieces, (None, pieces[0][1])])
+    texts = [w.decode() for _, w in pieces[:5]] + [" ".join(rng.choice("abcdef") for _ in range(30)) for _ in range(20)]
+    windows = [{tuple(w.split()[i : i + 10]) for i in range(5)} for _, w in pieces]
+    counts, hits, items = known.find(pa.array(texts))
+    for t, hit, of in zip(texts, hits, items, strict=True):
+        w = t.encode().split()
+        mine = [tuple(w[i : i + 10]) for i in range(len(w) - 9)]
+        assert of == sorted(pieces[k][0] for k in range(40) if windows[k] & set(mine))
+        assert hit == decontaminate.united([(i, i + 10) for i, m in enumerate(mine) if any(m in s for s in windows)])
+    assert counts == [len(t.split()) for t in texts]
 
 
 def test_secrets(spark):

@@ -30,14 +30,15 @@ from pyspark.sql import types as T
 
 from tickloom.llm import ragged
 from tickloom.llm.components import components
+from tickloom.llm.marks import MARKED, marked
 from tickloom.llm.scratch import Scratch
 
 #: Coordinates of a signature.
 COORDINATES = 48
 #: Chance that a pair at the threshold shares too few coordinates.
 MISS = 1e-6
-#: Ranges in which a set's shingles are counted, and the most bits of a filter of ids (32 MB).
-SPREAD, MOST_BITS = 128, 1 << 28
+#: Ranges in which a set's shingles are counted.
+SPREAD = 128
 #: Pairs of one class that are joined in one piece, unless a MOST_HOT-th of all is more; members of a posting that meet the others in one piece.
 PAIRS, MOST_HOT, MEETING = 64, 4096, 64
 #: Words of a shingle and percent of similarity, where no contract sets others.
@@ -127,25 +128,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             spreads = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SPREAD), pa.array(spread.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(values.view(np.int64))), spreads], names=["rep", "shingles", "spread"])
 
-    some = _marked(docs.select(F.col("doc_id").alias("rep"), "text").where("rep is not null"), "rep", ids)
-    return some.where("_near_marked").select("rep", "text").mapInArrow(run, T.StructType(fields))
-
-
-def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """rows with _near_marked: true if key is one of ids (column id), and for few others.
-
-    The hashes of ids, modulo a number of bits, are set bits; blocks of them are broadcast, MOST_BITS
-    (32 MB) in all at most. Beyond that more of the others are marked, none less of the ids.
-    """
-    bits = min(MOST_BITS, max(1 << 20, 1 << (16 * ids.count()).bit_length()))
-    block = 1 << 15
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    blocks = ids.select(slot("id").alias("slot")).groupBy(F.expr(f"slot div {block}").alias("_near_block")).agg(F.bitmap_construct_agg(F.col("slot") % block).alias("_near_bitmap"))
-    at = F.col("_near_slot") % block
-    byte = F.conv(F.hex(F.substring("_near_bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_set = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
-    placed = rows.withColumn("_near_slot", slot(key)).withColumn("_near_block", F.expr(f"_near_slot div {block}"))
-    return placed.join(F.broadcast(blocks), "_near_block", "left").withColumn("_near_marked", F.coalesce(is_set, F.lit(False))).drop("_near_block", "_near_slot", "_near_bitmap")
+    some = marked(docs.select(F.col("doc_id").alias("rep"), "text").where("rep is not null"), "rep", ids)
+    return some.where(MARKED).select("rep", "text").mapInArrow(run, T.StructType(fields))
 
 
 def _postings(classes: DataFrame, least: int) -> DataFrame:
@@ -270,8 +254,8 @@ def distinct(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     scratch = Scratch(docs.sparkSession)
     found = scratch.write(groups(docs, words, percent).select("doc_id", "kept"))
     gone = scratch.write(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("kept").alias("kept")).where("not kept").select("id"))
-    marked = _marked(docs.where("doc_id is not null"), "doc_id", gone)
-    clear, doubtful = marked.where("not _near_marked").drop("_near_marked"), marked.where("_near_marked").drop("_near_marked")
+    told = marked(docs.where("doc_id is not null"), "doc_id", gone)
+    clear, doubtful = told.where(~F.col(MARKED)), told.where(MARKED)
     return clear.select(*docs.columns).unionByName(doubtful.join(gone.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").select(*docs.columns))
 
 
