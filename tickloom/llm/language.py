@@ -134,7 +134,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int =
         out = []
         for _, x, bounds in ragged.slices(ragged.column(batch, "text")):
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                v = features(_prepared(x[a:b]))
+                p = _prepared(x[a:b])
+                v = features(p) if (p != 32).any() else np.zeros(0, np.float32)
                 at = np.flatnonzero(v)
                 out.append(at.astype("<u2").tobytes() + v[at].astype("<f4").tobytes())
         return [pa.array(out, pa.binary())]

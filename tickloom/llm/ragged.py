@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes worked on at a time, so that temporary arrays stay small whatever an Arrow batch holds.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Bytes of an Arrow batch that an operator takes at once, and that Spark is asked for.
 PIECE_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
