@@ -39,7 +39,7 @@ def test_streamed_log(spark, sf, tmp_path):
 def test_synthetic_surface(spark):
     t = synthetic.table(spark, ("2026-08-25",), 400, (1000, 2000)).persist()
     assert t.count() == 3 * (400 + 200) and t.where("isnan(r_60s)").count() == 0
-    ic = research.rank_ic(research.pairs(t, ("l1_obi", "trade_strength"), (1, 5)))
+    ic = research.table_ic(t, ("l1_obi", "trade_strength"), (1, 5))
     shown = research.surface(ic)
     cells = research.composite(shown)
     got = json.loads(research.surface_json(shown, cells).first()[0])
@@ -52,5 +52,5 @@ def test_synthetic_surface(spark):
     assert c["l1_obi", "l1_obi"] == pytest.approx(1) and c["l1_obi", "total_obi"] > 0.9
     assert not research.deflated_sharpe()["available"]
     with pytest.raises(ValueError, match="missing"):
-        research.pairs(t.drop("l1_obi"))
+        research.table_ic(t.drop("l1_obi"))
     assert set(schema.FEATURE_COLUMNS) <= set(t.columns)

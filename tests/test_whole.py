@@ -9,17 +9,48 @@ from tickloom.sources import ticks
 
 
 def test_crossed_duration_of_all_ticks(spark, tmp_path):
-    # Crossed are events whose id is a multiple of 50. Instrument 1 has one sound tick between two of them, instrument 7 none.
-    rows = [(50, 1, 0), (75, 1, 36), (100, 1, 72), (150, 1, 108), (200, 7, 0), (250, 7, 360)]
+    # Crossed are events whose id is 0 or 1 modulo 5. Instrument 1 has one sound tick between two of them, instrument 7 (2 of five) none.
+    rows = [(50, 1, 0), (78, 1, 36), (100, 1, 72), (151, 1, 108), (200, 7, 0), (250, 7, 360)]
     e = spark.createDataFrame(rows, "event_id long, user_id long, s long")
     e = e.select("event_id", "user_id", F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("s") * 1_000_000).alias("ts"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
     e.write.parquet(f"{tmp_path}/events.parquet")
-    got = {r["instrument_token"]: r["crossed_nanos"] for r in queries.QUERIES["crossed_duration_all"](spark, str(tmp_path)).collect()}
-    assert got == {1: 36 * 1_000_000 * 5 // 18, 7: 360 * 1_000_000 * 5 // 18}
+    got = {r["instrument_token"]: r["crossed_nanos"] for r in queries.QUERIES["crossed_duration"](spark, str(tmp_path)).collect()}
+    assert got == {1: 36 * 1_000_000 * 5 // 18, 2: 360 * 1_000_000 * 5 // 18}
+
+
+def test_rank_ic_of_columns_that_are_defined_apart(spark):
+    """Features and returns with gaps of their own, ties, constants and infinities: as pandas ranks them."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    n = 400
+    t = pd.DataFrame({"interval_ms": np.repeat([500, 1000], n // 2), "a": rng.integers(0, 9, n).astype(float), "b": rng.normal(size=n), "c": 1.0, "d": rng.normal(size=n), "e": np.nan, "r_1s": rng.integers(-3, 3, n) / 7, "r_5s": rng.normal(size=n)})
+    t.loc[rng.random(n) < 0.3, "b"] = np.nan
+    t.loc[rng.random(n) < 0.2, "r_5s"] = np.nan
+    t.loc[3, "d"] = np.inf
+    df = spark.createDataFrame(t).select("interval_ms", *[F.when(~F.isnan(c), F.col(c)).alias(c) if c != "d" else c for c in t.columns[1:]])
+    got = {(r["interval_ms"], r["horizon"], r["feature"]): (r["n"], r["ic"]) for r in research.table_ic(df, ("a", "b", "c", "d", "e"), (1, 5)).collect()}
+    assert len(got) == 16
+    clean = t.replace([np.inf], np.nan)
+    for (i, h, f), (count, ic) in got.items():
+        cell = clean[clean.interval_ms == i][[f, f"r_{h}s"]].dropna()
+        assert count == len(cell)
+        want = cell[f].rank().corr(cell[f"r_{h}s"].rank()) if cell[f].nunique() > 1 else None
+        assert ic == (None if want is None else pytest.approx(want, abs=1e-12))
+    cells = df.select(F.lit("x").alias("feature"), F.col("b").alias("x"), F.col("r_5s").alias("y"))
+    cell = clean[["b", "r_5s"]].dropna()
+    r = research.rank_ic(cells, ("feature",)).first()
+    assert r["n"] == len(cell) and r["ic"] == pytest.approx(cell.b.rank().corr(cell.r_5s.rank()), abs=1e-12)
+    tests = research.surface_tests(research.table_ic(df, ("a", "c"), (1, 5)), (500, 1000, 2000), (1, 5), ("a", "c")).orderBy("position").collect()
+    assert [(r["interval_ms"], r["horizon"], r["feature"]) for r in tests] == [(i, h, f) for i in (500, 1000, 2000) for h in (1, 5) for f in "ac"]
+    assert [r["p_value"] is None for r in tests] == [r["feature"] == "c" or r["interval_ms"] == 2000 for r in tests]
+    with pytest.raises(Exception, match="outside the surface"):
+        research.surface_tests(research.table_ic(df, ("a", "d"), (1,)), (500, 1000), (1,), ("a",)).collect()
 
 
 def test_feature_store_of_all_instruments(spark, sf):
-    got = queries.QUERIES["feature_store_all"](spark, sf)
+    got = queries.QUERIES["feature_store"](spark, sf)
     want = features.feature_table(ticks.load(spark, sf))
     count = lambda d: {r[0]: r[1] for r in d.groupBy(F.col("instrument_token").cast("long")).count().collect()}
     assert count(got) == count(want) and len(count(got)) > 1
@@ -40,10 +71,10 @@ def test_whole_surface_equals_brute_force(spark, sf, tmp_path):
                 if ic is not None:
                     p_values[i, h, f] = research.student_p(ic * ((len(cell) - 2) / (1 - ic * ic)) ** 0.5, len(cell) - 2)
             shown[i, h] = sum(each) / len(each)
-    got = {(r["interval_ms"], r["horizon"]): r["composite"] for r in queries.QUERIES["information_surface_all"](spark, str(tmp_path)).collect()}
+    got = {(r["interval_ms"], r["horizon"]): r["composite"] for r in queries.QUERIES["information_surface"](spark, str(tmp_path)).collect()}
     assert got.keys() == shown.keys() and len(got) == 25
     assert all(got[c] == pytest.approx(shown[c], abs=1e-8) for c in got)
-    top = queries.QUERIES["surface_peak_all"](spark, str(tmp_path)).first()
+    top = queries.QUERIES["surface_peak"](spark, str(tmp_path)).first()
     assert top["composite"] == max(got.values()) and got[top["interval_ms"], top["horizon"]] == top["composite"]
     tests = {(r["interval_ms"], r["horizon"], r["feature"]): r for r in queries.QUERIES["surface_tests"](spark, str(tmp_path)).collect()}
     assert len(tests) == 250

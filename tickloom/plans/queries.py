@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +13,7 @@ from tickloom.operators import flow, grid, targets
 from tickloom.plans import features as table
 from tickloom.plans import ml, research
 from tickloom.sources import decoders, store, ticks, wal
+from tickloom.sources.scratch import Scratch
 from tickloom.streaming import book as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,18 +33,8 @@ def query(sql: str | None = None):
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder among the shared ones of the session (a temporary one only where none is set), removed when the driver ends."""
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tickloom-')).rstrip('/')}/{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM went first; the folder is the cluster's to sweep
-        pass
+    """A new folder among the shared ones of the session, removed when the driver ends."""
+    return Scratch(spark).root
 
 
 # --- SQL pieces ---------------------------------------------------------------------------
@@ -57,13 +45,15 @@ def d(x: float) -> str:
     return f"{x!r}e0" if "e" not in repr(x) else repr(x)
 
 
-def sql_ticks(bad: bool = False, token: str = "user_id") -> str:
+def sql_ticks(bad: bool = False, token: str = "user_id", crossed: bool = False) -> str:
     cents = {f"b{i}": f"base_c - {25 + 10 * i}" for i in range(5)} | {f"a{i}": f"base_c + {25 + 10 * i}" for i in range(5)}
     if bad:
         b0, a0 = cents["b0"], cents["a0"]
         cents["b0"] = f"CASE event_id % 50 WHEN 0 THEN {a0} WHEN 2 THEN 0 ELSE {b0} END"
         cents["a0"] = f"CASE event_id % 50 WHEN 0 THEN {b0} WHEN 1 THEN {b0} ELSE {a0} END"
         cents["b1"] = f"CASE event_id % 50 WHEN 3 THEN {b0} ELSE {cents['b1']} END"
+        if crossed:
+            cents["b0"], cents["a0"] = (f"CASE WHEN event_id % 5 < 2 THEN {other} ELSE {now} END" for other, now in ((a0, cents["b0"]), (b0, cents["a0"])))
     prices = ", ".join(f"({c}) / 1e2 AS {n}" for n, c in cents.items())
     qty = ", ".join(f"100 + ((event_id * {m} + {i * k} + {c}) % 500) * {5 - i} AS q{s}{i}" for s, m, k, c in (("b", 31, 17, 7), ("a", 37, 29, 11)) for i in range(5))
     orders = ", ".join(f"(1 + (event_id + {i}) % 10)::INTEGER AS o{s}{i}" for s in "ba" for i in range(5))
@@ -251,18 +241,11 @@ def arrival_gaps(spark, sf):
     return flow.arrival_gaps(ticks.load(spark, sf))
 
 
-@query(f"""WITH {sql_ticks(True, 'user_id % 5')}, g AS (SELECT instrument_token, CASE WHEN tag = 'STATE_CROSSED' AND lag(tag) OVER w = 'STATE_CROSSED' THEN mono_nanos - lag(mono_nanos) OVER w ELSE 0 END AS gap
-FROM (SELECT *, {TAG} AS tag FROM ticks WHERE seq % 50 < 3) WINDOW w AS (PARTITION BY instrument_token ORDER BY mono_nanos, seq)) SELECT instrument_token, sum(gap)::BIGINT AS crossed_nanos FROM g GROUP BY instrument_token""")
-def crossed_duration(spark, sf):
-    """On the rows with anomalies only, as its SQL has it, so that crossed books are neighbours; crossed_duration_all takes all ticks."""
-    return flow.crossed_duration(ticks.load(spark, sf, bad=True, dense=True).where("seq % 50 < 3"))
-
-
-@query(f"""WITH {sql_ticks(True)}, g AS (SELECT instrument_token, CASE WHEN tag = 'STATE_CROSSED' AND lag(tag) OVER w = 'STATE_CROSSED' THEN mono_nanos - lag(mono_nanos) OVER w ELSE 0 END AS gap
+@query(f"""WITH {sql_ticks(True, 'user_id % 5', True)}, g AS (SELECT instrument_token, CASE WHEN tag = 'STATE_CROSSED' AND lag(tag) OVER w = 'STATE_CROSSED' THEN mono_nanos - lag(mono_nanos) OVER w ELSE 0 END AS gap
 FROM (SELECT *, {TAG} AS tag FROM ticks) WINDOW w AS (PARTITION BY instrument_token ORDER BY mono_nanos, seq)) SELECT instrument_token, sum(gap)::BIGINT AS crossed_nanos FROM g GROUP BY instrument_token""")
-def crossed_duration_all(spark, sf):
-    """On all ticks of all instruments."""
-    return flow.crossed_duration(ticks.load(spark, sf, bad=True))
+def crossed_duration(spark, sf):
+    """On all ticks, of five instruments so that crossed books, made of two events in five, are neighbours."""
+    return flow.crossed_duration(ticks.load(spark, sf, bad=True, dense=True, crossed=True))
 
 
 @query(f"""WITH {sql_ticks()} SELECT instrument_token, seq, mono_nanos, ltp, b0, a0, n_updates FROM (SELECT *, row_number() OVER (PARTITION BY instrument_token ORDER BY mono_nanos DESC, seq DESC) AS n, count(*) OVER (PARTITION BY instrument_token) AS n_updates FROM ticks) WHERE n = 1""")
@@ -357,18 +340,9 @@ def feature_summary(spark, sf):
     return s.select("n_rows", *[F.round(f"avg_{c}", 6).alias(f"avg_{c}") for c in _AVG])
 
 
-@query(f"WITH {sql_table((1000,))} SELECT instrument_token, grid_seq, round(mid_price, 9) AS mid_price, 1000 AS interval_ms FROM full_table WHERE instrument_token = 3")
-def feature_store(spark, sf):
-    """Written as partitions and read back, pruned to one instrument."""
-    path = folder(spark)
-    store.write_features(table.feature_table(ticks.load(spark, sf)), path, "2024-01-02")
-    t = store.read_features(spark, path, 1000, "2024-01-02", 3)
-    return t.select(F.col("instrument_token").cast("bigint").alias("instrument_token"), "grid_seq", _r9(F.col("mid_price")).alias("mid_price"), "interval_ms")
-
-
 @query(f"WITH {sql_table((1000,))} SELECT instrument_token, grid_seq, round(mid_price, 9) AS mid_price, 1000 AS interval_ms FROM full_table")
-def feature_store_all(spark, sf):
-    """Written as partitions and read back, all instruments."""
+def feature_store(spark, sf):
+    """Written as partitions and read back, all instruments; pruning has a test of its own."""
     path = folder(spark)
     store.write_features(table.feature_table(ticks.load(spark, sf)), path, "2024-01-02")
     t = store.read_features(spark, path, 1000, "2024-01-02")
@@ -433,7 +407,7 @@ ic AS (SELECT interval_ms, horizon, feature, n, CASE WHEN n >= 3 AND aa - mean >
 
 def _ic(spark, sf, intervals, horizons, names):
     t = rounded(table.feature_table(ticks.load(spark, sf), intervals).select("interval_ms", *names, *[f"r_{h}s" for h in horizons]))
-    return research.rank_ic(research.pairs(t, names, horizons))
+    return research.table_ic(t, names, horizons)
 
 
 @query(sql_ic((1000,), (5,), schema.IC_FEATURES) + " SELECT interval_ms, horizon, feature, n, round(ic, 9) AS ic FROM ic")
@@ -441,37 +415,31 @@ def rank_ic_1s_grid(spark, sf):
     return _ic(spark, sf, (1000,), (5,), schema.IC_FEATURES).withColumn("ic", _r9(F.col("ic")))
 
 
-#: The part of the surface that has SQL, and the whole of it (250 hypotheses), too large for the SQL.
-_SURFACE = ((1000, 2000), (1, 5, 30), ("l1_obi", "micro_pressure_bps", "l1_ofi", "trade_strength"))
+#: All intervals, horizons and features: 250 hypotheses.
 _WHOLE = (schema.INTERVALS_MS, schema.HORIZONS_SEC, schema.IC_FEATURES)
 _SHOWN = ", shown AS (SELECT interval_ms, horizon, round(avg(abs(CASE WHEN n < 30 THEN 0e0 ELSE coalesce(ic, 0e0) END)), 9) AS composite FROM ic GROUP BY ALL)"
 
 
-@query(sql_ic(*_SURFACE) + _SHOWN + " SELECT * FROM shown")
-def information_surface(spark, sf):
-    return research.composite(research.surface(_ic(spark, sf, *_SURFACE)))
-
-
-@query(sql_ic(*_SURFACE) + _SHOWN + " SELECT * FROM shown ORDER BY composite DESC, interval_ms, horizon LIMIT 1")
-def surface_peak(spark, sf):
-    return research.peak(research.composite(research.surface(_ic(spark, sf, *_SURFACE))))
+@query(sql_ic(*_WHOLE) + " SELECT interval_ms, horizon, feature, n, round(ic, 9) AS ic FROM ic")
+def rank_ic_surface(spark, sf):
+    """The correlations of all 250 hypotheses."""
+    return _ic(spark, sf, *_WHOLE).withColumn("ic", _r9(F.col("ic")))
 
 
-@query()
-def information_surface_all(spark, sf):
-    """The surface over all intervals, horizons and features."""
+@query(sql_ic(*_WHOLE) + _SHOWN + " SELECT * FROM shown")
+def information_surface(spark, sf):
     return research.composite(research.surface(_ic(spark, sf, *_WHOLE)))
 
 
-@query()
-def surface_peak_all(spark, sf):
+@query(sql_ic(*_WHOLE) + _SHOWN + " SELECT * FROM shown ORDER BY composite DESC, interval_ms, horizon LIMIT 1")
+def surface_peak(spark, sf):
     return research.peak(research.composite(research.surface(_ic(spark, sf, *_WHOLE))))
 
 
 @query()
 def surface_tests(spark, sf):
     """Rank correlations of the whole surface with their p-values, corrected as one family; the t tail has no SQL form."""
-    t = research.tested(_ic(spark, sf, *_WHOLE)).withColumns({"family": F.lit("surface"), "position": F.xxhash64("interval_ms", "horizon", "feature")})
+    t = research.surface_tests(_ic(spark, sf, *_WHOLE))
     return research.benjamini_hochberg(t)
 
 

@@ -3,36 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import exp, lgamma, log, log1p
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import schema
+from tickloom.sources.scratch import Scratch
 
 PAIR = ("interval_ms", "horizon", "feature")
 
 
-def pairs(table: DataFrame, features: tuple[str, ...] = schema.IC_FEATURES, horizons: tuple[int, ...] = schema.HORIZONS_SEC) -> DataFrame:
-    """The table unpivoted to (interval_ms, horizon, feature, x, y), finite pairs only."""
-    missing = [c for c in (*features, *(f"r_{h}s" for h in horizons)) if c not in table.columns]
-    if missing:
-        raise ValueError(f"columns are missing: {missing}")
-    cells = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("x"), F.col(f"r_{h}s").alias("y")) for h in horizons for f in features])
-    out = table.select("interval_ms", F.explode(cells).alias("c")).select("interval_ms", "c.*")
-    return out.where("x is not null and y is not null and not isnan(x) and not isnan(y) and abs(x) < double('infinity') and abs(y) < double('infinity')")
-
-
-def below(counts: DataFrame, keys: tuple[str, ...], c: str, n: str = "_t") -> DataFrame:
+def below(scratch: Scratch, counts: DataFrame, keys: tuple[str, ...], c: str, n: str = "_t") -> DataFrame:
     """counts (keys, c, n) with _below, the sum of n over smaller values of c of the same keys.
 
     Values are dealt by range, so a key's values spread over many tasks; each task sums its own,
-    and one row for each key and range carries the sums of the ranges before.
+    and one row for each key and range carries the sums of the ranges before. The ranges are
+    written, as both uses must see the same.
     """
-    # Kept, as both uses must see the same ranges.
-    parts = counts.repartitionByRange(*keys, c).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = scratch.write(counts.repartitionByRange(*keys, c).withColumn("_part", F.spark_partition_id()))
     order = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = parts.groupBy(*keys, "_part").agg(F.sum(n).alias("_n")).select(*keys, "_part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
     own = Window.partitionBy("_part", *keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
@@ -40,25 +31,116 @@ def below(counts: DataFrame, keys: tuple[str, ...], c: str, n: str = "_t") -> Da
     return inside.join(before, [*keys, "_part"]).withColumn("_below", F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_part")
 
 
+def _ranks(scratch: Scratch, counts: DataFrame, keys: tuple[str, ...], c: str) -> DataFrame:
+    """counts (keys, c, _t) with _rank: twice the average rank of a value, 2 * (values below) + ties + 1."""
+    return below(scratch, counts, keys, c).withColumn("_rank", 2 * F.col("_below") + F.col("_t") + 1).drop("_below")
+
+
+def _correlation(n: Column, ab: Column, aa: Column, bb: Column) -> Column:
+    """Of doubled ranks' exact sums of products; NULL where a side is constant or n < 3."""
+    n = n.cast("double")
+    mean = n * (n + 1) * (n + 1)  # n times the square of the doubled mean rank
+    ab, aa, bb = (c.cast("double") - mean for c in (ab, aa, bb))
+    return F.when((n >= 3) & (aa > 0) & (bb > 0), ab / F.sqrt(aa * bb))
+
+
+#: Sums of products of ranks are exact for up to 5e11 pairs of a correlation.
+_RANK, _SUM = "decimal(13,0)", "decimal(24,0)"
+
+
 def rank_ic(cells: DataFrame, keys: tuple[str, ...] = PAIR, x: str = "x", y: str = "y") -> DataFrame:
-    """keys, n and ic: Spearman correlation with average ranks, NULL where a side is constant or n < 3.
+    """keys, n and ic: Spearman correlation with average ranks, NULL where a side is constant or n < 3; without null pairs.
 
-    Values are counted first, and a value's doubled average rank is 2 * (values below) + ties + 1,
-    so what is sorted is distinct values, and sums are exact in decimals.
+    y's ranks are joined to the rows; then a value of x needs only its count and the sum of its
+    rows' ranks of y. What is sorted is distinct values, dealt by range.
     """
-    def ranked(c: str) -> DataFrame:
-        counts = cells.groupBy(*keys, c).agg(F.count("*").alias("_t"))
-        return below(counts, keys, c).select(*keys, c, (2 * F.col("_below") + F.col("_t") + 1).alias(f"_r{c}"))
-
-    both = cells.groupBy(*keys, x, y).agg(F.count("*").alias("_m")).join(ranked(x), [*keys, x]).join(ranked(y), [*keys, y])
-    m, a, b = (F.col(c).cast("decimal(12,0)") for c in ("_m", f"_r{x}", f"_r{y}"))
-    total = lambda e: F.sum(e.cast("decimal(38,0)"))
-    s = both.groupBy(*keys).agg(F.sum("_m").alias("n"), total(m * a * b).alias("_ab"), total(m * a * a).alias("_aa"), total(m * b * b).alias("_bb"))
-    n = F.col("n").cast("double")
-    mean = n * (n + 1) * (n + 1)  # n times the square of the doubled mean rank
-    ab, aa, bb = (F.col(c).cast("double") - mean for c in ("_ab", "_aa", "_bb"))
-    ok = (F.col("n") >= 3) & (aa > 0) & (bb > 0)
-    return s.select(*keys, "n", F.when(ok, ab / F.sqrt(aa * bb)).alias("ic"))
+    scratch = Scratch(cells.sparkSession)
+    rows = scratch.write(cells.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null"))
+    of_y = scratch.write(_ranks(scratch, rows.groupBy(*keys, "y").agg(F.count("*").alias("_t")), keys, "y"))
+    sides = rows.join(of_y.select(*keys, "y", F.col("_rank").alias("_b")), [*keys, "y"]).groupBy(*keys, "x").agg(F.count("*").alias("_t"), F.sum(F.col("_b").cast(_RANK)).alias("_sb"))
+    return _summed(scratch, sides, of_y, keys, keys)
+
+
+def _summed(scratch: Scratch, sides: DataFrame, of_y: DataFrame, keys: tuple[str, ...], y_keys: tuple[str, ...]) -> DataFrame:
+    """keys, n and ic from the values of x with their counts and sums of y's ranks, and the ranks of y."""
+    big = lambda c, kind: F.col(c).cast(kind)
+    of_x = _ranks(scratch, sides.withColumn("_sb", big("_sb", _SUM)), keys, "x")
+    a = big("_rank", _RANK)
+    left = of_x.groupBy(*keys).agg(F.sum("_t").alias("n"), F.sum(a * big("_sb", _SUM)).alias("_ab"), F.sum((a * a).cast("decimal(26,0)") * big("_t", "decimal(11,0)")).alias("_aa"))
+    b = big("_rank", _RANK)
+    right = of_y.groupBy(*y_keys).agg(F.sum((b * b).cast("decimal(26,0)") * big("_t", "decimal(11,0)")).alias("_bb"))
+    return left.join(right, list(y_keys)).select(*keys, "n", _correlation(F.col("n"), F.col("_ab"), F.col("_aa"), F.col("_bb")).alias("ic"))
+
+
+def _finite(c: str) -> Column:
+    """The column as double, NULL where it is not a finite number."""
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
+def table_ic(table: DataFrame, features: tuple[str, ...] = schema.IC_FEATURES, horizons: tuple[int, ...] = schema.HORIZONS_SEC) -> DataFrame:
+    """rank_ic() of all features against all forward returns of a feature table, by interval_ms, horizon and feature.
+
+    The table is evaluated once. Features that are defined in the same rows share the ranks of
+    the returns, and returns that are defined in the same rows share the pass over a feature's
+    values, so neither the rows nor the ranks are made anew for each pair.
+    """
+    targets = tuple(f"r_{h}s" for h in horizons)
+    missing = [c for c in (*features, *targets) if c not in table.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    scratch = Scratch(table.sparkSession)
+    rows = scratch.write(table.select("interval_ms", *[_finite(c).alias(c) for c in (*features, *targets)]))
+    out = []
+    for own in _alike(rows, features):
+        defined = rows.where(F.col(own[0]).isNotNull())
+        for ys in _alike(defined, targets):
+            both = defined.where(F.col(ys[0]).isNotNull()).select("interval_ms", *own, *ys)
+            pairs = F.explode(F.array(*[F.struct(F.lit(int(y[2:-1])).alias("horizon"), F.col(y).alias("y")) for y in ys]))
+            each = both.select("interval_ms", pairs.alias("_p")).select("interval_ms", "_p.*")
+            of_y = scratch.write(_ranks(scratch, each.groupBy("interval_ms", "horizon", "y").agg(F.count("*").alias("_t")), ("interval_ms", "horizon"), "y"))
+            for y in ys:
+                rank = of_y.where(F.col("horizon") == int(y[2:-1])).select("interval_ms", F.col("y").alias(y), F.col("_rank").alias(f"_b_{y}"))
+                both = both.join(rank, ["interval_ms", y])
+            values = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in own]))
+            sums = [F.sum(F.col(f"_b_{y}").cast(_RANK)).alias(f"_s_{y}") for y in ys]
+            wide = both.select("interval_ms", values.alias("_p"), *[f"_b_{y}" for y in ys]).select("interval_ms", "_p.*", *[f"_b_{y}" for y in ys])
+            wide = wide.groupBy("interval_ms", "feature", "x").agg(F.count("*").alias("_t"), *sums)
+            out.append(_table_sums(scratch, wide, of_y, ys))
+    return reduce(DataFrame.union, out)
+
+
+def _table_sums(scratch: Scratch, wide: DataFrame, of_y: DataFrame, ys: tuple[str, ...]) -> DataFrame:
+    """interval_ms, horizon, feature, n and ic from the values of each feature with their counts and, for each return, the sum of its ranks."""
+    of_x = _ranks(scratch, wide.withColumns({f"_s_{y}": F.col(f"_s_{y}").cast(_SUM) for y in ys}), ("interval_ms", "feature"), "x")
+    a, t = F.col("_rank").cast(_RANK), F.col("_t").cast("decimal(11,0)")
+    left = of_x.groupBy("interval_ms", "feature").agg(F.sum("_t").alias("n"), F.sum((a * a).cast("decimal(26,0)") * t).alias("_aa"), *[F.sum(a * F.col(f"_s_{y}")).alias(f"_ab_{y}") for y in ys])
+    products = F.explode(F.array(*[F.struct(F.lit(int(y[2:-1])).alias("horizon"), F.col(f"_ab_{y}").alias("_ab")) for y in ys]))
+    left = left.select("interval_ms", "feature", "n", "_aa", products.alias("_p")).select("interval_ms", "feature", "n", "_aa", "_p.*")
+    right = of_y.groupBy("interval_ms", "horizon").agg(F.sum((a * a).cast("decimal(26,0)") * t).alias("_bb"))
+    return left.join(right, ["interval_ms", "horizon"]).select("interval_ms", "horizon", "feature", "n", _correlation(F.col("n"), F.col("_ab"), F.col("_aa"), F.col("_bb")).alias("ic"))
+
+
+def _alike(rows: DataFrame, columns: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """columns in groups that are defined in the same rows; those defined in none are left out."""
+    differ = {(a, b): F.count_if(F.col(a).isNull() != F.col(b).isNull()).alias(f"{a}|{b}") for i, a in enumerate(columns) for b in columns[i + 1 :]}
+    found = rows.agg(*[F.count(c).alias(c) for c in columns], *differ.values()).first().asDict()
+    out: list[list[str]] = []
+    for c in (c for c in columns if found[c]):
+        same = next((g for g in out if not found[f"{g[0]}|{c}"]), None)
+        (same.append(c) if same else out.append([c]))
+    return [tuple(g) for g in out]
+
+
+def surface_tests(ic: DataFrame, intervals: tuple[int, ...] = schema.INTERVALS_MS, horizons: tuple[int, ...] = schema.HORIZONS_SEC, features: tuple[str, ...] = schema.IC_FEATURES) -> DataFrame:
+    """tested() of every cell as one family, in the order of intervals, horizons and features (position).
+
+    A cell that ic lacks has no pairs: n = 0 and no p-value. A cell beside them raises when it is counted.
+    """
+    cells = [(i, h, f, (a * len(horizons) + b) * len(features) + c) for a, i in enumerate(intervals) for b, h in enumerate(horizons) for c, f in enumerate(features)]
+    every = ic.sparkSession.createDataFrame(cells, "interval_ms int, horizon int, feature string, position long")
+    known = every.join(ic, ["interval_ms", "horizon", "feature"], "full").withColumn("position", F.when(F.col("position").isNotNull(), F.col("position")).otherwise(F.raise_error(F.lit("a test outside the surface")).cast("long")))
+    return tested(known.withColumn("n", F.coalesce("n", F.lit(0)))).withColumn("family", F.lit("surface"))
 
 
 def surface(ic: DataFrame, least: int = 30) -> DataFrame:
@@ -192,25 +274,22 @@ def walk_forward(df: DataFrame, time: str, folds: int, lookback: float, tau: flo
 
 def fold_bounds(distinct: DataFrame, folds: int) -> list[tuple]:
     """(fold, test start, test end) of distinct times t, without sorting them in one partition."""
-    parts = distinct.repartitionByRange("t").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counts = dict(parts.groupBy("part").count().collect())  # a row for each partition
-        n = sum(counts.values())
-        if folds < 1 or n < folds + 1:
-            raise ValueError("not enough times for the requested folds")
-        block = n // (folds + 1)
-        places = [(i, (i + 1) * block, n - 1 if i == folds - 1 else (i + 2) * block - 1) for i in range(folds)]
-        starts, total = {}, 0
-        for part in sorted(counts):
-            starts[part], total = total, total + counts[part]
-        wanted = F.lit(False)
-        for place in {p for _, a, b in places for p in (a, b)}:
-            part = max(k for k, s in starts.items() if s <= place)
-            wanted = wanted | ((F.col("part") == part) & (F.col("place") == place - starts[part]))
-        ranked = parts.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("t")) - 1)
-        at = {starts[r["part"]] + r["place"]: r["t"] for r in ranked.where(wanted).collect()}
-    finally:
-        parts.unpersist()
+    parts = Scratch(distinct.sparkSession).write(distinct.repartitionByRange("t").withColumn("part", F.spark_partition_id()))
+    counts = dict(parts.groupBy("part").count().collect())  # a row for each partition
+    n = sum(counts.values())
+    if folds < 1 or n < folds + 1:
+        raise ValueError("not enough times for the requested folds")
+    block = n // (folds + 1)
+    places = [(i, (i + 1) * block, n - 1 if i == folds - 1 else (i + 2) * block - 1) for i in range(folds)]
+    starts, total = {}, 0
+    for part in sorted(counts):
+        starts[part], total = total, total + counts[part]
+    wanted = F.lit(False)
+    for place in {p for _, a, b in places for p in (a, b)}:
+        part = max(k for k, s in starts.items() if s <= place)
+        wanted = wanted | ((F.col("part") == part) & (F.col("place") == place - starts[part]))
+    ranked = parts.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("t")) - 1)
+    at = {starts[r["part"]] + r["place"]: r["t"] for r in ranked.where(wanted).collect()}
     return [(i, at[a], at[b]) for i, a, b in places]
 
 

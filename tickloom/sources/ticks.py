@@ -9,11 +9,12 @@ LEVELS = 5
 _EPOCH = 1_704_067_200_000_000
 
 
-def ticks(events: DataFrame, bad: bool = False, dense: bool = False) -> DataFrame:
+def ticks(events: DataFrame, bad: bool = False, dense: bool = False, crossed: bool = False) -> DataFrame:
     """Ticks with the unrolled book b0..b4, qb0.., a0.., qa0.., ob0.., oa0.. in prices of two decimals.
 
     Time is compressed 3,600 to 1 into mono_nanos; epoch_micros keeps the clock. dense folds the
-    tokens into five; bad makes crossed, locked, empty and non-monotonic books of some rows.
+    tokens into five; bad makes crossed, locked, empty and non-monotonic books of some rows,
+    and with crossed two events in five have crossed books.
     """
     e = F.col("event_id")
     base = F.lit(10000) + F.round(F.col("value") * 100).cast("bigint")
@@ -36,6 +37,8 @@ def ticks(events: DataFrame, bad: bool = False, dense: bool = False) -> DataFram
         cents["b0"] = F.when(kind == 0, a0).when(kind == 2, F.lit(0)).otherwise(b0)
         cents["a0"] = F.when(kind == 0, b0).when(kind == 1, b0).otherwise(a0)
         cents["b1"] = F.when(kind == 3, b0).otherwise(b1)
+        if crossed:
+            cents["b0"], cents["a0"] = (F.when(s % 5 < 2, other).otherwise(now) for other, now in ((a0, cents["b0"]), (b0, cents["a0"])))
     qty = {f"q{side}{i}": 100 + ((s * m + i * k + c) % 500) * (5 - i) for side, m, k, c in (("b", 31, 17, 7), ("a", 37, 29, 11)) for i in range(LEVELS)}
     orders = {f"o{side}{i}": (1 + (s + i) % 10).cast("int") for side in "ba" for i in range(LEVELS)}
     return out.select(
