@@ -40,7 +40,7 @@ MISS = 1e-6
 #: Ranges in which a set's shingles are counted.
 SPREAD = 128
 #: Pairs of one class that are joined in one piece, unless a MOST_HOT-th of all is more; members of a posting that meet the others in one piece.
-PAIRS, MOST_HOT, MEETING = 64, 4096, 64
+PAIRS, MOST_HOT, MEETING = 64, 4096, 4096
 #: Words of a shingle and percent of similarity, where no contract sets others.
 WORDS, PERCENT = 5, 80
 
