@@ -59,13 +59,14 @@ def cumulative(df: DataFrame, keys: tuple[str, ...] = KEYS, time: tuple[str, ...
 
 
 def order_flow(df: DataFrame, keys: tuple[str, ...] = KEYS, time: tuple[str, ...] = TIME, levels: int = 5) -> DataFrame:
-    """df with l1_ofi, ml_ofi_uniform and ml_ofi_exp against the row before, and ready.
+    """df with l1_ofi, ml_ofi_uniform and ml_ofi_exp against the row before, and ready, unless df has it already.
 
     The first row has 0; a row has NULL if it or the row before is not fit for computing.
     """
     w = along(keys, time)
     book = Book.unrolled(levels)
-    df = df.withColumn("ready", book.ready())
+    if "ready" not in df.columns:
+        df = df.withColumn("ready", book.ready())
     before = Book.unrolled(levels, lambda c: F.lag(c).over(w))
     first = F.lag(F.lit(True)).over(w).isNull()
     both = F.col("ready") & F.lag("ready").over(w)

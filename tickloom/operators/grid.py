@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from tickloom.functions import schema
 from tickloom.operators.flow import KEYS, TIME, along
 
+#: Points of one gap that are made at a time.
+CHUNK = 4096
+
 
 def resample(df: DataFrame, intervals_ms: tuple[int, ...] = (1000,), keys: tuple[str, ...] = KEYS, time: tuple[str, ...] = TIME, flush: Column | None = None, inclusive: bool = False, max_age_ms: int | None = None) -> DataFrame:
     """df's rows on grids: with interval_ms, grid_seq, grid_nanos, delta_nanos and snapshot_age_ms.
 
     flush, a time in nanoseconds, emits the points after the last tick up to it. max_age_ms leaves
-    out points older than that before they are made, so that a long gap costs nothing.
+    out points older than that before they are made, so that a long gap costs nothing. Without it a
+    gap's points are made CHUNK at a time, so a gap of days holds no more memory than one of minutes.
     """
     t = time[0]
     w = along(keys, time)
@@ -36,6 +40,9 @@ def resample(df: DataFrame, intervals_ms: tuple[int, ...] = (1000,), keys: tuple
     if max_age_ms is not None:
         high = F.least(high, F.expr(f"({t} - _first + {max_age_ms * schema.MS}) div delta_nanos"))
     spaced = spaced.withColumns({"_low": low + 1, "_high": high}).where("_low <= _high")
+    if max_age_ms is None or max_age_ms > CHUNK * min(intervals_ms):
+        spaced = spaced.withColumn("_low", F.explode(F.sequence("_low", "_high", F.lit(CHUNK).cast("bigint"))))
+        spaced = spaced.withColumn("_high", F.least("_high", F.col("_low") + CHUNK - 1))
     out = spaced.withColumn("grid_seq", F.explode(F.sequence("_low", "_high")))
     out = out.withColumn("grid_nanos", F.col("_first") + F.col("grid_seq") * F.col("delta_nanos"))
     age = F.greatest(F.lit(0), F.col("grid_nanos") - F.col(t)) / float(schema.MS)

@@ -13,15 +13,20 @@ from tickloom.functions import schema, scores
 from tickloom.operators.flow import KEYS
 
 
-def forward(df: DataFrame, value: str, horizon_sec: int, intervals_ms: tuple[int, ...], keys: tuple[str, ...] = KEYS) -> Column:
-    """value at the last grid point at or before T + horizon, for df on the given grids."""
+def forward(df: DataFrame, value: str, horizons_sec: tuple[int, ...], intervals_ms: tuple[int, ...], keys: tuple[str, ...] = KEYS) -> tuple[DataFrame, dict[int, Column]]:
+    """df, on the given grids, with a helper column _lead<n> for each number of rows to look ahead, and by
+    horizon the value at the last grid point at or before T + horizon."""
     w = Window.partitionBy(*keys, "interval_ms").orderBy("grid_seq")
-    out = None
-    for ms in intervals_ms:
-        steps = horizon_sec * 1000 // ms
-        there = F.lead(value, steps).over(w) if steps else F.col(value)
-        out = F.when(F.col("interval_ms") == ms, there) if out is None else out.when(F.col("interval_ms") == ms, there)
-    return out
+    ahead = {(h, ms): h * 1000 // ms for h in horizons_sec for ms in intervals_ms}
+    df = df.withColumns({f"_lead{n}": F.lead(value, n).over(w) if n else F.col(value) for n in sorted(set(ahead.values()))})
+    out: dict[int, Column] = {}
+    for (h, ms), n in ahead.items():
+        there = F.col(f"_lead{n}")
+        if len(intervals_ms) == 1:
+            out[h] = there
+        else:
+            out[h] = F.when(F.col("interval_ms") == ms, there) if h not in out else out[h].when(F.col("interval_ms") == ms, there)
+    return df, out
 
 
 def returns(grid: DataFrame, intervals_ms: tuple[int, ...] = (1000,), mid: str = "mid_price", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -31,10 +36,9 @@ def returns(grid: DataFrame, intervals_ms: tuple[int, ...] = (1000,), mid: str =
     """
     last = F.max("grid_nanos").over(Window.partitionBy(*keys, "interval_ms"))
     ripe = (F.col(mid) > 0) & (last >= F.col("grid_nanos") + max(schema.HORIZONS_SEC) * schema.SECOND)
-    there = {f"_f{h}": forward(grid, mid, h, intervals_ms, keys) for h in schema.HORIZONS_SEC}
-    out = grid.withColumns(there | {"_ripe": ripe})
-    log = {f"r_{h}s": F.when(F.col("_ripe") & (F.col(f"_f{h}") > 0), F.ln(F.col(f"_f{h}") / F.col(mid))) for h in schema.HORIZONS_SEC}
-    return out.withColumns(log).drop("_ripe", *there)
+    out, there = forward(grid.withColumn("_ripe", ripe), mid, schema.HORIZONS_SEC, intervals_ms, keys)
+    log = {f"r_{h}s": F.when(F.col("_ripe") & (there[h] > 0), F.ln(there[h] / F.col(mid))) for h in schema.HORIZONS_SEC}
+    return out.withColumns(log).drop("_ripe", *[c for c in out.columns if c.startswith("_lead")])
 
 
 def labels(df: DataFrame, alpha: float = schema.ALPHA, sigma: float = schema.SIGMA_DELTA) -> DataFrame:

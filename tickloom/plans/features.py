@@ -19,22 +19,28 @@ def tick_state(ticks: DataFrame, keys: tuple[str, ...] = flow.KEYS) -> DataFrame
 def grid_features(ticks: DataFrame, intervals_ms: tuple[int, ...] = (1000,), keys: tuple[str, ...] = flow.KEYS, flow_basis: str = "grid") -> DataFrame:
     """Grid rows with all features but the targets. Trade state is carried with the tick, so nothing looks ahead.
 
-    flow_basis: order flow between neighbouring grid rows, or between neighbouring ticks.
+    What a tick alone tells is computed once for the tick, before it is carried to its grid
+    points. flow_basis: order flow between neighbouring grid rows, or between neighbouring ticks.
     """
-    state = tick_state(ticks, keys)
+    book = Book.unrolled()
+    state = tick_state(ticks, keys).withColumn("ready", book.ready())
     if flow_basis == "tick":
         state = flow.order_flow(state, keys)
+    state = tick_source.with_symbol(state.withColumns(features(book, F.col("ltp"), F.col("ready")) | flow.strength()))
     points = grid.resample(state, intervals_ms, keys)
     if flow_basis == "grid":
         points = flow.order_flow(points, (*keys, "interval_ms"), ("grid_seq",))
-    out = points.withColumns(features(Book.unrolled(), F.col("ltp"), F.col("ready")) | flow.strength())
-    return tick_source.with_symbol(out)
+    return points
 
 
 def feature_table(ticks: DataFrame, intervals_ms: tuple[int, ...] = (1000,), keys: tuple[str, ...] = flow.KEYS, flow_basis: str = "grid", exec_basis: str = "mid") -> DataFrame:
-    """The feature table, and interval_ms."""
+    """The feature table, interval_ms, and those of the keys that it lacks.
+
+    Each set of keys has a grid of its own, with running volumes, order flow and targets that
+    begin anew. ticks.BY_DAY deals a heavy instrument out by day.
+    """
     out = targets.executable(targets.labels(targets.returns(grid_features(ticks, intervals_ms, keys, flow_basis), intervals_ms, keys=keys)), basis=exec_basis)
-    return out.select(*schema.FEATURE_COLUMNS, "interval_ms")
+    return out.select(*schema.FEATURE_COLUMNS, "interval_ms", *[k for k in keys if k not in schema.FEATURE_COLUMNS])
 
 
 def summary(table: DataFrame) -> DataFrame:

@@ -18,7 +18,15 @@ from tickloom.streaming import book as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-_r9 = lambda c: F.round(c, 9)
+
+
+def _rounded(c, digits: int):
+    """c to so many digits, half away from zero as the SQL engine does it, in plain arithmetic; F.round goes through decimals."""
+    unit = float(10**digits)
+    return F.signum(c) * F.floor(F.abs(c) * unit + 0.5) / unit + 0.0
+
+
+_r9 = lambda c: _rounded(c, 9)
 
 
 def query(sql: str | None = None):
@@ -370,7 +378,7 @@ _SCORE = "greatest(-1e0, least(1e0, 3.5e-1 * greatest(-1e0, least(1e0, coalesce(
 def baseline_score(spark, sf):
     t = table.grid_features(ticks.load(spark, sf)).select("instrument_token", "grid_seq", _r9(scores.baseline_score(F.col("w_obi_lin"), F.col("trade_strength"), F.col("micro_pressure_bps"))).alias("score"))
     split = scores.display_split(F.col("score"))
-    return t.select("*", scores.band(F.col("score")).alias("label"), F.round(split["up_percent"], 7).alias("up_percent"), F.round(split["neutral_percent"], 7).alias("neutral_percent"))
+    return t.select("*", scores.band(F.col("score")).alias("label"), _rounded(split["up_percent"], 7).alias("up_percent"), _rounded(split["neutral_percent"], 7).alias("neutral_percent"))
 
 
 # --- sessions ----------------------------------------------------------------------------
