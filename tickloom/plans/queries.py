@@ -53,7 +53,7 @@ def d(x: float) -> str:
     return f"{x!r}e0" if "e" not in repr(x) else repr(x)
 
 
-def sql_ticks(bad: bool = False, token: str = "user_id", crossed: bool = False) -> str:
+def sql_ticks(bad: bool = False, token: str = "user_id", crossed: bool = False, dated: bool = False, pace: int = 5) -> str:
     cents = {f"b{i}": f"base_c - {25 + 10 * i}" for i in range(5)} | {f"a{i}": f"base_c + {25 + 10 * i}" for i in range(5)}
     if bad:
         b0, a0 = cents["b0"], cents["a0"]
@@ -65,9 +65,10 @@ def sql_ticks(bad: bool = False, token: str = "user_id", crossed: bool = False)
     prices = ", ".join(f"({c}) / 1e2 AS {n}" for n, c in cents.items())
     qty = ", ".join(f"100 + ((event_id * {m} + {i * k} + {c}) % 500) * {5 - i} AS q{s}{i}" for s, m, k, c in (("b", 31, 17, 7), ("a", 37, 29, 11)) for i in range(5))
     orders = ", ".join(f"(1 + (event_id + {i}) % 10)::INTEGER AS o{s}{i}" for s in "ba" for i in range(5))
+    day = ", strftime(ts, '%Y-%m-%d') AS trade_date" if dated else ""
     return f"""base AS (SELECT *, 10000 + CAST(round(value * 100) AS BIGINT) AS base_c, CASE event_type WHEN 'purchase' THEN 25 WHEN 'error' THEN -25 ELSE 0 END AS off FROM events),
-ticks AS (SELECT {token} AS instrument_token, event_id AS seq, ((epoch_us(ts) - 1704067200000000) * 5) // 18 AS mono_nanos, epoch_us(ts) AS epoch_micros,
-  coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS ltq, (base_c + off) / 1e2 AS ltp, {prices}, {qty}, {orders} FROM base)"""
+ticks AS (SELECT {token} AS instrument_token, event_id AS seq, ((epoch_us(ts) - 1704067200000000) * {pace}) // 18 AS mono_nanos, epoch_us(ts) AS epoch_micros,
+  coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS ltq, (base_c + off) / 1e2 AS ltp, {prices}, {qty}, {orders}{day} FROM base)"""
 
 
 QUOTED = "(b0 > 0 AND a0 > 0)"
@@ -143,14 +144,14 @@ points AS (SELECT *, t0 + grid_seq * delta_nanos AS grid_nanos, greatest(0, t0 +
   FROM (SELECT *, unnest(range((mono_nanos - t0) // delta_nanos + 1, (nxt - t0) // delta_nanos + 1)) AS grid_seq FROM stepped))"""
 
 
-def sql_table(intervals: tuple[int, ...]) -> str:
-    """WITH pieces that end in full_table, the feature table."""
+def sql_table(intervals: tuple[int, ...], **kind: bool | int) -> str:
+    """WITH pieces that end in full_table, the feature table; kind as for sql_ticks."""
     lead = lambda h: f"last_value(mid_price) OVER (PARTITION BY instrument_token, interval_ms ORDER BY grid_nanos RANGE BETWEEN CURRENT ROW AND {h * schema.SECOND} FOLLOWING)"
     ret = ", ".join(f"CASE WHEN ripe AND f_{h} > 0 THEN ln(f_{h} / mid_price) END AS r_{h}s" for h in schema.HORIZONS_SEC)
     theta = lambda h: f"greatest({d(schema.SIGMA_DELTA * schema.ALPHA)} * sqrt({d(float(h * schema.SECOND))} / delta_nanos), {sql_ratio('spread', '2 * mid_price')})"
     y = ", ".join(f"CASE WHEN r_{h}s > {theta(h)} THEN 1 WHEN r_{h}s < -({theta(h)}) THEN -1 ELSE 0 END AS y_{h}s" for h in schema.HORIZONS_SEC)
     ex = ", ".join(f"CASE WHEN best_ask > 0 AND mid_price * exp(r_{h}s) > 0 THEN (mid_price * exp(r_{h}s) - best_ask) / best_ask - {d(scores.fixed_cost())} END AS exec_{h}s" for h in schema.HORIZONS_SEC)
-    return f"""{sql_ticks()}, {SQL_SIDE}, {sql_grid('state', intervals)},
+    return f"""{sql_ticks(**kind)}, {SQL_SIDE}, {sql_grid('state', intervals)},
 flows AS ({sql_flow('points', 'instrument_token, interval_ms', 'grid_seq')}),
 feats AS (SELECT *, {sql_cols(sql_features())}, {sql_cols(STRENGTH)}, 'TOKEN_' || instrument_token AS symbol, {sql_ratio('cum_value', 'cum_volume * 100', 'ltp')} AS vwap FROM flows),
 fwd AS (SELECT *, mid_price > 0 AND max(grid_nanos) OVER (PARTITION BY instrument_token, interval_ms) >= grid_nanos + {60 * schema.SECOND} AS ripe, {', '.join(f'{lead(h)} AS f_{h}' for h in schema.HORIZONS_SEC)} FROM feats),
@@ -158,7 +159,7 @@ rets AS (SELECT *, {ret} FROM fwd),
 full_table AS (SELECT *, {y}, {ex} FROM rets)"""
 
 
-_EXACT = {"grid_seq", "grid_nanos", "delta_nanos", "instrument_token", "symbol", "cum_volume", *(f"y_{h}s" for h in schema.HORIZONS_SEC), "interval_ms"}
+_EXACT = {"trade_date", "grid_seq", "grid_nanos", "delta_nanos", "instrument_token", "symbol", "cum_volume", *(f"y_{h}s" for h in schema.HORIZONS_SEC), "interval_ms"}
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -297,9 +298,9 @@ def grid_flush(spark, sf):
     return grid.resample(ticks.load(spark, sf), (2000,), flush=F.lit(_END)).select(*_GRID)
 
 
-@query(f"WITH {sql_ticks()}, {sql_grid('ticks', (500, 1000))} SELECT instrument_token, interval_ms, count(*) AS n_points, count(*) FILTER (snapshot_age_ms > {schema.STALE_MS}) AS n_stale FROM points GROUP BY ALL")
+@query(f"WITH {sql_ticks()}, {sql_grid('ticks', schema.INTERVALS_MS)} SELECT instrument_token, interval_ms, count(*) AS n_points, count(*) FILTER (snapshot_age_ms > {schema.STALE_MS}) AS n_stale FROM points GROUP BY ALL")
 def stale_points(spark, sf):
-    return grid.staleness(grid.resample(ticks.load(spark, sf).select("instrument_token", "mono_nanos", "seq"), (500, 1000)))
+    return grid.staleness(grid.resample(ticks.load(spark, sf).select("instrument_token", "mono_nanos", "seq"), schema.INTERVALS_MS))
 
 
 # --- feature table -----------------------------------------------------------------------
@@ -333,12 +334,21 @@ def feature_table(spark, sf):
     return rounded(table.feature_table(ticks.load(spark, sf)))
 
 
-@query(f"WITH {sql_table((500, 2000))} SELECT interval_ms, count(*) AS n_rows, round(avg(mid_price), 6) AS avg_mid, round(avg(l1_ofi), 6) AS avg_ofi, round(avg(r_5s), 9) AS avg_r5, round(avg(exec_60s), 9) AS avg_exec60, sum(y_10s)::BIGINT AS sum_y10 FROM full_table GROUP BY interval_ms")
+@query(f"WITH {sql_table(schema.INTERVALS_MS)} SELECT interval_ms, count(*) AS n_rows, round(avg(mid_price), 6) AS avg_mid, round(avg(l1_ofi), 6) AS avg_ofi, round(avg(r_5s), 9) AS avg_r5, round(avg(exec_60s), 9) AS avg_exec60, sum(y_10s)::BIGINT AS sum_y10 FROM full_table GROUP BY interval_ms")
 def multi_grid_features(spark, sf):
-    t = table.feature_table(ticks.load(spark, sf), (500, 2000))
+    t = table.feature_table(ticks.load(spark, sf), schema.INTERVALS_MS)
     return t.groupBy("interval_ms").agg(F.count("*").alias("n_rows"), F.round(F.avg("mid_price"), 6).alias("avg_mid"), F.round(F.avg("l1_ofi"), 6).alias("avg_ofi"), F.round(F.avg("r_5s"), 9).alias("avg_r5"), F.round(F.avg("exec_60s"), 9).alias("avg_exec60"), F.sum("y_10s").alias("sum_y10"))
 
 
+_DAILY = ("trade_date", "instrument_token", "grid_seq", "snapshot_age_ms", "mid_price", "l1_ofi", "trade_strength", "cum_volume", "r_5s", "y_5s", "exec_60s")
+
+
+@query(f"WITH {sql_table((1000,), dated=True, pace=50)} SELECT {sql_rounded(_DAILY)} FROM full_table".replace("PARTITION BY instrument_token", "PARTITION BY trade_date, instrument_token"))
+def daily_features(spark, sf):
+    """The feature table with all state begun anew each day, ten times as fast a clock."""
+    return rounded(table.feature_table(ticks.load(spark, sf, dated=True, pace=50), keys=ticks.BY_DAY).select(*_DAILY))
+
+
 _AVG = ("mid_price", "spread", "l1_obi", "snapshot_age_ms", "trade_strength")
 
 
@@ -487,7 +497,8 @@ def purged_train(spark, sf):
     return _split(spark, sf).where("part = 'train'").select("seq", "fold")
 
 
-@query("SELECT 0::BIGINT AS n_violations")
+@query(_FOLDS + """, train AS (SELECT * FROM s WHERE part = 'train'), zone AS (SELECT fold, min(t) - 2000000000 AS a, max(t) + 2000000000 AS b FROM s WHERE part = 'test' GROUP BY fold)
+SELECT count(*) AS n_violations FROM train JOIN zone USING (fold) WHERE (t - 5000000000 <= b AND a <= t) OR (t <= b AND a <= t + 5000000000)""")
 def fold_violations(spark, sf):
     s = _split(spark, sf)
     return research.violations(s, "t", 5 * schema.SECOND, 5 * schema.SECOND, 2 * schema.SECOND).agg(F.count("*").alias("n_violations"))
@@ -499,7 +510,7 @@ def fold_violations(spark, sf):
 @query(f"WITH {sql_ticks()}, {SQL_SIDE} SELECT instrument_token, seq, mono_nanos, epoch_micros, ltp, ltq, cum_volume, {sql_ratio('cum_value', 'cum_volume * 100', 'ltp')} AS vwap, ltp - 0.25e0 AS b0, ltp + 0.25e0 AS a0, 100::BIGINT AS qb0, 100::BIGINT AS qa0 FROM state")
 def wal_roundtrip(spark, sf):
     """Ticks written as frame logs and decoded again."""
-    path = folder(spark).removeprefix("file://")
+    path = folder(spark)
     wal.write(flow.cumulative(ticks.load(spark, sf)), path)
     return wal.ticks(wal.read(spark, path)).select("instrument_token", "seq", "mono_nanos", "epoch_micros", "ltp", "ltq", "cum_volume", "vwap", "b0", "a0", "qb0", "qa0")
 
@@ -557,10 +568,17 @@ def ui_messages(spark, sf):
     return m.withColumn("j", j).select("instrument_token", "client_arrival_nanos", _r9(F.col("j.midPrice")).alias("mid"), F.col("j.stateTag").alias("tag"), F.round("j.depthImbalancePercent", 6).alias("imbalance"), F.size("j.bids").alias("n_bids"), "depth_scale", "gauge")
 
 
-@query("""SELECT * FROM (VALUES ('DHAN', true, '11,536,7', 'NOT_IMPLEMENTED'), ('MOCK', false, '1001', 'DISCONNECTED'), ('UPSTOX', false, '', 'NOT_IMPLEMENTED'), ('ZERODHA', false, '738561', 'NOT_IMPLEMENTED')) AS t(source, selected, tokens, status)""")
+@query("""WITH r AS (SELECT s_name AS source, s_suppkey % 3 = 0 AS credentials, s_suppkey % 2 = 0 AS implemented, s_suppkey = 6 AS selected, CASE WHEN s_suppkey = 6 THEN ' ' || s_nationkey || ', 536,' || s_nationkey || ',,7 ' ELSE s_nationkey::VARCHAR END AS given FROM supplier),
+p AS (SELECT source, trim(u.t) AS t, min(u.k) AS k FROM r, unnest(string_split(given, ',')) WITH ORDINALITY AS u(t, k) WHERE selected AND trim(u.t) <> '' GROUP BY ALL)
+SELECT source, selected, CASE WHEN selected THEN (SELECT string_agg(t, ',' ORDER BY k) FROM p WHERE p.source = r.source) ELSE given END AS tokens,
+CASE WHEN NOT implemented THEN 'NOT_IMPLEMENTED' WHEN NOT credentials THEN 'CREDENTIALS_MISSING' WHEN selected THEN 'CONNECTED' ELSE 'DISCONNECTED' END AS status FROM r""")
 def source_registry(spark, sf):
-    rows = [("MOCK", True, "1001", True, True), ("ZERODHA", False, "738561", False, False), ("DHAN", False, "", True, False), ("UPSTOX", False, "", False, False)]
-    return store.source_status(store.select_source(spark.createDataFrame(rows, store.SOURCES), " dhan ", "11, 536,11,,7 ")).select("source", "selected", "tokens", "status")
+    """Suppliers as feeds, one of them selected with a list of tokens to clean."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    k = F.col("s_suppkey")
+    rows = s.select(F.col("s_name").alias("source"), (k == 1).alias("selected"), F.col("s_nationkey").cast("string").alias("tokens"), (k % 3 == 0).alias("credentials"), (k % 2 == 0).alias("implemented"))
+    chosen = s.where(k == 6).select("s_name", "s_nationkey").first()
+    return store.source_status(store.select_source(rows, f" {chosen[0].lower()} ", f" {chosen[1]}, 536,{chosen[1]},,7 ")).select("source", "selected", "tokens", "status")
 
 
 @query("""WITH o AS (SELECT o_orderdate::DATE::VARCHAR AS trade_date, count(*) AS n, 1 AS version FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), w AS (SELECT o_orderdate::DATE::VARCHAR AS trade_date, count(*) AS n, 2 AS version FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEVELS = 5
+#: Keys that give each day of an instrument a grid, volumes, order flow and targets of its own, and a task of its own.
+BY_DAY = ("trade_date", "instrument_token")
 _EPOCH = 1_704_067_200_000_000
 
 
-def ticks(events: DataFrame, bad: bool = False, dense: bool = False, crossed: bool = False) -> DataFrame:
+def ticks(events: DataFrame, bad: bool = False, dense: bool = False, crossed: bool = False, dated: bool = False, pace: int = 5) -> DataFrame:
     """Ticks with the unrolled book b0..b4, qb0.., a0.., qa0.., ob0.., oa0.. in prices of two decimals.
 
-    Time is compressed 3,600 to 1 into mono_nanos; epoch_micros keeps the clock. dense folds the
-    tokens into five; bad makes crossed, locked, empty and non-monotonic books of some rows,
+    Time is compressed 18,000 / pace to 1 into mono_nanos; epoch_micros keeps the clock, and with
+    dated so does trade_date, the day of the session's time zone. dense folds the tokens into five; bad makes crossed, locked, empty and non-monotonic books of some rows,
     and with crossed two events in five have crossed books.
     """
     e = F.col("event_id")
@@ -22,6 +24,7 @@ def ticks(events: DataFrame, bad: bool = False, dense: bool = False, crossed: bo
         (F.col("user_id") % 5 if dense else F.col("user_id")).alias("instrument_token"),
         e.alias("seq"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("epoch_micros"),
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("trade_date"),
         F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0)).alias("ltq"),
         base.alias("base_c"),
         F.when(F.col("event_type") == "purchase", 25).when(F.col("event_type") == "error", -25).otherwise(0).alias("off"),
@@ -44,16 +47,17 @@ def ticks(events: DataFrame, bad: bool = False, dense: bool = False, crossed: bo
     return out.select(
         "instrument_token",
         "seq",
-        F.expr(f"((epoch_micros - {_EPOCH}) * 5) div 18").alias("mono_nanos"),
+        F.expr(f"((epoch_micros - {_EPOCH}) * {pace}) div 18").alias("mono_nanos"),
         "epoch_micros",
         "ltq",
         ((F.col("base_c") + F.col("off")) / 100.0).alias("ltp"),
         *[(c / 100.0).alias(n) for n, c in cents.items()],
         *[c.alias(n) for n, c in (qty | orders).items()],
+        *(["trade_date"] if dated else []),
     )
 
 
-def load(spark: SparkSession, sf_dir: str, **kind: bool) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, **kind: bool | int) -> DataFrame:
     return ticks(spark.read.parquet(f"{sf_dir}/events.parquet"), **kind)
 
 
