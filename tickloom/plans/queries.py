@@ -21,12 +21,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _rounded(c, digits: int):
-    """c to so many digits, half away from zero as the SQL engine does it, in plain arithmetic; F.round goes through decimals."""
+    """c to so many digits, half away from zero, in plain arithmetic: faster than F.round for a few columns, slower where it makes a wide table's code too long to compile."""
     unit = float(10**digits)
     return F.signum(c) * F.floor(F.abs(c) * unit + 0.5) / unit + 0.0
 
 
-_r9 = lambda c: _rounded(c, 9)
+_r9 = lambda c: F.round(c, 9)
 
 
 def query(sql: str | None = None):
@@ -386,7 +386,7 @@ _SCORE = "greatest(-1e0, least(1e0, 3.5e-1 * greatest(-1e0, least(1e0, coalesce(
 
 @query(f"WITH {sql_table((1000,))}, s AS (SELECT instrument_token, grid_seq, round({_SCORE}, 9) AS score FROM full_table) SELECT *, CASE WHEN score > 1.5e-1 THEN 1 WHEN score < -1.5e-1 THEN -1 ELSE 0 END AS label, round(CASE WHEN score > 0 THEN abs(score) * 1e2 ELSE 0e0 END, 7) AS up_percent, round(1e2 - abs(score) * 1e2, 7) AS neutral_percent FROM s")
 def baseline_score(spark, sf):
-    t = table.grid_features(ticks.load(spark, sf)).select("instrument_token", "grid_seq", _r9(scores.baseline_score(F.col("w_obi_lin"), F.col("trade_strength"), F.col("micro_pressure_bps"))).alias("score"))
+    t = table.grid_features(ticks.load(spark, sf)).select("instrument_token", "grid_seq", _rounded(scores.baseline_score(F.col("w_obi_lin"), F.col("trade_strength"), F.col("micro_pressure_bps")), 9).alias("score"))
     split = scores.display_split(F.col("score"))
     return t.select("*", scores.band(F.col("score")).alias("label"), _rounded(split["up_percent"], 7).alias("up_percent"), _rounded(split["neutral_percent"], 7).alias("neutral_percent"))
 

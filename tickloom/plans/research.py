@@ -45,7 +45,7 @@ def _correlation(n: Column, ab: Column, aa: Column, bb: Column) -> Column:
 
 
 #: Sums of products of ranks are exact for up to 5e11 pairs of a correlation.
-_RANK, _SUM = "decimal(13,0)", "decimal(24,0)"
+_RANK, _SUM, _LOW = "decimal(13,0)", "decimal(24,0)", 21
 
 
 def rank_ic(cells: DataFrame, keys: tuple[str, ...] = PAIR, x: str = "x", y: str = "y") -> DataFrame:
@@ -91,19 +91,23 @@ def table_ic(table: DataFrame, features: tuple[str, ...] = schema.IC_FEATURES, h
         raise ValueError(f"columns are missing: {missing}")
     scratch = Scratch(table.sparkSession)
     rows = scratch.write(table.select("interval_ms", *[_finite(c).alias(c) for c in (*features, *targets)]))
-    out = []
-    for own in _alike(rows, features):
-        defined = rows.where(F.col(own[0]).isNotNull())
-        for ys in _alike(defined, targets):
-            both = defined.where(F.col(ys[0]).isNotNull()).select("interval_ms", *own, *ys)
+    columns = (*features, *targets)
+    patterns = _patterns(rows, columns)
+    out = [table.sparkSession.createDataFrame([], "interval_ms int, horizon int, feature string, n long, ic double")]
+    for own in _alike(patterns, range(len(features))):
+        defined = rows.where(F.col(columns[own[0]]).isNotNull())
+        for ys in _alike({p for p in patterns if p >> own[0] & 1}, range(len(features), len(columns))):
+            own_names, ys = tuple(columns[k] for k in own), tuple(columns[k] for k in ys)
+            both = defined.where(F.col(ys[0]).isNotNull()).select("interval_ms", *own_names, *ys)
             pairs = F.explode(F.array(*[F.struct(F.lit(int(y[2:-1])).alias("horizon"), F.col(y).alias("y")) for y in ys]))
             each = both.select("interval_ms", pairs.alias("_p")).select("interval_ms", "_p.*")
             of_y = scratch.write(_ranks(scratch, each.groupBy("interval_ms", "horizon", "y").agg(F.count("*").alias("_t")), ("interval_ms", "horizon"), "y"))
             for y in ys:
                 rank = of_y.where(F.col("horizon") == int(y[2:-1])).select("interval_ms", F.col("y").alias(y), F.col("_rank").alias(f"_b_{y}"))
                 both = both.join(rank, ["interval_ms", y])
-            values = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in own]))
-            sums = [F.sum(F.col(f"_b_{y}").cast(_RANK)).alias(f"_s_{y}") for y in ys]
+            values = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in own_names]))
+            # The high and the low bits of ranks are summed apart: both sums fit in a long.
+            sums = [x for y in ys for x in (F.sum(F.shiftright(f"_b_{y}", _LOW)).alias(f"_h_{y}"), F.sum(F.col(f"_b_{y}").bitwiseAND((1 << _LOW) - 1)).alias(f"_l_{y}"))]
             wide = both.select("interval_ms", values.alias("_p"), *[f"_b_{y}" for y in ys]).select("interval_ms", "_p.*", *[f"_b_{y}" for y in ys])
             wide = wide.groupBy("interval_ms", "feature", "x").agg(F.count("*").alias("_t"), *sums)
             out.append(_table_sums(scratch, wide, of_y, ys))
@@ -112,7 +116,8 @@ def table_ic(table: DataFrame, features: tuple[str, ...] = schema.IC_FEATURES, h
 
 def _table_sums(scratch: Scratch, wide: DataFrame, of_y: DataFrame, ys: tuple[str, ...]) -> DataFrame:
     """interval_ms, horizon, feature, n and ic from the values of each feature with their counts and, for each return, the sum of its ranks."""
-    of_x = _ranks(scratch, wide.withColumns({f"_s_{y}": F.col(f"_s_{y}").cast(_SUM) for y in ys}), ("interval_ms", "feature"), "x")
+    of_x = _ranks(scratch, wide, ("interval_ms", "feature"), "x")
+    of_x = of_x.withColumns({f"_s_{y}": ((F.col(f"_h_{y}").cast("decimal(20,0)") * F.lit(1 << _LOW).cast("decimal(7,0)")).cast("decimal(27,0)") + F.col(f"_l_{y}")).cast(_SUM) for y in ys})
     a, t = F.col("_rank").cast(_RANK), F.col("_t").cast("decimal(11,0)")
     left = of_x.groupBy("interval_ms", "feature").agg(F.sum("_t").alias("n"), F.sum((a * a).cast("decimal(26,0)") * t).alias("_aa"), *[F.sum(a * F.col(f"_s_{y}")).alias(f"_ab_{y}") for y in ys])
     products = F.explode(F.array(*[F.struct(F.lit(int(y[2:-1])).alias("horizon"), F.col(f"_ab_{y}").alias("_ab")) for y in ys]))
@@ -121,15 +126,20 @@ def _table_sums(scratch: Scratch, wide: DataFrame, of_y: DataFrame, ys: tuple[st
     return left.join(right, ["interval_ms", "horizon"]).select("interval_ms", "horizon", "feature", "n", _correlation(F.col("n"), F.col("_ab"), F.col("_aa"), F.col("_bb")).alias("ic"))
 
 
-def _alike(rows: DataFrame, columns: tuple[str, ...]) -> list[tuple[str, ...]]:
-    """columns in groups that are defined in the same rows; those defined in none are left out."""
-    differ = {(a, b): F.count_if(F.col(a).isNull() != F.col(b).isNull()).alias(f"{a}|{b}") for i, a in enumerate(columns) for b in columns[i + 1 :]}
-    found = rows.agg(*[F.count(c).alias(c) for c in columns], *differ.values()).first().asDict()
-    out: list[list[str]] = []
-    for c in (c for c in columns if found[c]):
-        same = next((g for g in out if not found[f"{g[0]}|{c}"]), None)
-        (same.append(c) if same else out.append([c]))
-    return [tuple(g) for g in out]
+def _patterns(rows: DataFrame, columns: tuple[str, ...]) -> set[int]:
+    """Which columns are defined together, as bits of a number for each kind of row: a few at most, whatever the rows."""
+    mask = reduce(lambda a, b: a + b, (F.when(F.col(c).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, c in enumerate(columns)))
+    return {r[0] for r in rows.groupBy(mask.alias("_mask")).agg(F.lit(0)).collect()}
+
+
+def _alike(patterns: set[int], places: range) -> list[list[int]]:
+    """The columns at these places in groups that are defined in the same rows; those defined in none are left out."""
+    out: list[list[int]] = []
+    for k in places:
+        if any(p >> k & 1 for p in patterns):
+            same = next((g for g in out if all(p >> g[0] & 1 == p >> k & 1 for p in patterns)), None)
+            (same.append(k) if same else out.append([k]))
+    return out
 
 
 def surface_tests(ic: DataFrame, intervals: tuple[int, ...] = schema.INTERVALS_MS, horizons: tuple[int, ...] = schema.HORIZONS_SEC, features: tuple[str, ...] = schema.IC_FEATURES) -> DataFrame:
