@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import schema, scores
 from tickloom.functions.book import Book, features, percent
-from tickloom.operators import flow, grid, targets
+from tickloom.operators import extras, flow, grid, targets
 from tickloom.plans import features as table
-from tickloom.plans import ml, research
+from tickloom.plans import export, ml, research
 from tickloom.sources import decoders, store, ticks, wal
 from tickloom.sources.scratch import Scratch
 from tickloom.streaming import book as live
@@ -649,3 +649,192 @@ def interval_overlap(spark, sf):
     zone = (F.lit(358 * schema.SECOND), F.lit(362 * schema.SECOND))
     span = 5 * schema.SECOND
     return ticks.load(spark, sf).where(research.overlaps((t - span, t), zone) | research.overlaps((t, t + span), zone)).select("seq")
+
+
+# --- reports and forms -------------------------------------------------------------------
+
+
+@query(f"WITH {sql_ticks()} SELECT 'CLEAN' AS diagnosis, count(*) AS n_frames, count(*) * 80 AS valid_bytes, 0::BIGINT AS truncated_bytes FROM ticks UNION ALL SELECT 'PARTIAL_HEADER', 3, 240, 12")
+def recovery_report(spark, sf):
+    """What is readable of the logs of all ticks and of one that ends in half a header."""
+    path = folder(spark)
+    rows = flow.cumulative(ticks.load(spark, sf))
+    wal.write(rows, path)
+    import numpy as np
+
+    names = ("instrument_token", "ltp", "ltq", "cum_volume", "vwap", "seq", "mono_nanos", "epoch_micros")
+    files, where = wal.file_system(path)
+    with files.open_output_stream(f"{where}/feed_conn2_00000.raw") as f:
+        f.write(wal.packed({n: np.arange(3) for n in names}, 2) + b"x" * 12)
+    r = wal.recovery_report(spark, path)
+    return r.groupBy("diagnosis").agg(*[F.sum(c).alias(c) for c in ("n_frames", "valid_bytes", "truncated_bytes")]).where("n_frames > 0")
+
+
+@query(f"WITH {sql_ticks()}, {sql_grid('ticks', schema.INTERVALS_MS)} SELECT instrument_token, interval_ms, count(*) AS n_rows, max(grid_seq) AS last_seq FROM points GROUP BY ALL")
+def session_export(spark, sf):
+    """Logs of all ticks, exported to the store as a session's feature tables, and counted as read back."""
+    path = folder(spark)
+    wal.write(flow.cumulative(ticks.load(spark, sf)), f"{path}/log")
+    export.finalize_session(spark, f"{path}/log", f"{path}/features", "2024-01-02")
+    t = store.read_features(spark, f"{path}/features").groupBy("instrument_token", "interval_ms").agg(F.count("*").alias("n_rows"), F.max("grid_seq").alias("last_seq"))
+    return t.withColumn("instrument_token", F.col("instrument_token").cast("bigint"))
+
+
+_TEXT = ("grid_seq", "instrument_token", "symbol", "mid_price", "spread", "ltp", "r_5s", "y_5s")
+
+
+@query(f"WITH {sql_table((1000,))} SELECT grid_seq::VARCHAR AS grid_seq, instrument_token::VARCHAR AS instrument_token, symbol, printf('%.4f', mid_price) AS mid_price, printf('%.4f', spread) AS spread, printf('%.4f', ltp) AS ltp, CASE WHEN r_5s IS NULL THEN 'NaN' ELSE printf('%.6f', r_5s) END AS r_5s, y_5s::VARCHAR AS y_5s FROM full_table")
+def csv_form(spark, sf):
+    """The feature table as text with fixed digits."""
+    return store.csv_rows(table.feature_table(ticks.load(spark, sf))).select(*_TEXT)
+
+
+@query(f"WITH {sql_table((1000,))} SELECT instrument_token, grid_seq, " + ", ".join(f"round(CASE WHEN best_bid > 0 AND mid_price * exp(r_{h}s) > 0 THEN (best_bid - mid_price * exp(r_{h}s)) / best_bid - {d(scores.fixed_cost())} END, 9) AS short_{h}s" for h in schema.HORIZONS_SEC) + " FROM full_table")
+def short_returns(spark, sf):
+    """Sell at the bid, buy back at the forward mid, less costs."""
+    t = table.feature_table(ticks.load(spark, sf))
+    return t.select("instrument_token", "grid_seq", *[_r9(scores.short_return(F.col("best_bid"), F.col("mid_price") * F.exp(F.col(f"r_{h}s")), scores.fixed_cost())).alias(f"short_{h}s") for h in schema.HORIZONS_SEC])
+
+
+_MATRIX = f"m AS (SELECT * FROM full_table WHERE r_5s IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in schema.MODEL_FEATURES)})"
+_ZS = {f: f"CASE WHEN stddev_pop({f}) < 1e-12 THEN 1e0 ELSE stddev_pop({f}) END" for f in schema.MODEL_FEATURES}
+
+
+@query(f"WITH {sql_table((1000,))}, {_MATRIX} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n, round((min({f}) - avg({f})) / ({z}), 5) AS low, round((max({f}) - avg({f})) / ({z}), 5) AS high FROM m" for f, z in _ZS.items()))
+def standardized(spark, sf):
+    """The range of each standardised feature."""
+    m = ml.matrix(table.feature_table(ticks.load(spark, sf)))
+    z = ml.standardized(m, ml.scaler(m))
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("z")) for f in schema.MODEL_FEATURES]))
+    return z.select(cells.alias("c")).select("c.*").groupBy("feature").agg(F.count("*").alias("n"), F.round(F.min("z"), 5).alias("low"), F.round(F.max("z"), 5).alias("high"))
+
+
+@query()
+def mock_feed(spark, sf):
+    """A thousand snapshots of the seeded feed, twenty levels each; hashes have no SQL form."""
+    from tickloom.sources import mock
+
+    return mock.batch(spark, 1000)
+
+
+@query(f"WITH {sql_ticks()} SELECT instrument_token, seq, mono_nanos, ltp FROM (SELECT *, row_number() OVER (PARTITION BY instrument_token ORDER BY mono_nanos DESC, seq DESC) AS n FROM ticks) WHERE n = 1")
+def message_fanout(spark, sf):
+    """The newest row of each instrument as a sink got it from a stream of all ticks, beside a sink that fails."""
+    path = folder(spark)
+    t = ticks.load(spark, sf).select("instrument_token", "seq", "mono_nanos", "ltp")
+    t.coalesce(1).write.parquet(f"{path}/in")
+
+    def failing(batch: DataFrame, epoch: int) -> None:
+        raise ValueError("this sink is down")
+
+    sinks = [failing, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/out/{epoch}")]
+    live.broadcast_messages(spark.readStream.schema(t.schema).parquet(f"{path}/in"), sinks, f"{path}/check", pace=None).awaitTermination()
+    return spark.read.parquet(f"{path}/out/*").select(*t.columns)
+
+
+_IC = "((p_partkey * 37) % 1999 - 999) / 1e3"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS position, CASE WHEN p_partkey % 2 = 0 THEN 'surface' ELSE 'cross_broker' END AS family, {_P} AS p_value, {_IC} AS ic FROM part),
+k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p_value, position) AS k, count(*) OVER (PARTITION BY family) AS m FROM t WHERE p_value IS NOT NULL),
+l AS (SELECT family, max(CASE WHEN p_value <= 5e-2 * k / m THEN k END) AS last FROM k GROUP BY family),
+b AS (SELECT family, position, abs(ic) AS size, row_number() OVER (PARTITION BY family ORDER BY abs(ic) DESC, position) AS n FROM t)
+SELECT t.family, count(*) AS n_tests, count(p_value) AS n_defined, coalesce(max(l.last), 0)::BIGINT AS n_discoveries, max(abs(ic)) AS best_abs_ic, (SELECT position FROM b WHERE b.family = t.family AND n = 1) AS best_position FROM t LEFT JOIN l USING (family) GROUP BY t.family""")
+def fdr_report(spark, sf):
+    """Families with their numbers of tests and discoveries, and the best test of each."""
+    k = F.col("p_partkey")
+    p = F.when(k % 97 != 0, ((k * 7919) % 10007) * ((k * 104729) % 10009) / 100160063.0 / 50)
+    t = spark.read.parquet(f"{sf}/part.parquet").select(k.alias("position"), F.when(k % 2 == 0, "surface").otherwise("cross_broker").alias("family"), p.alias("p_value"), (((k * 37) % 1999 - 999) / 1e3).alias("ic"))
+    return research.report(research.benjamini_hochberg(t))
+
+
+# --- beyond the feature table ------------------------------------------------------------
+
+
+def _sql_rolling(s: int) -> str:
+    over = f"OVER (PARTITION BY instrument_token ORDER BY mono_nanos RANGE BETWEEN {s * schema.SECOND} PRECEDING AND CURRENT ROW)"
+    buy, sell = (f"sum(CASE WHEN side = '{v}' THEN ltq ELSE 0 END) {over}" for v in ("BUY", "SELL"))
+    return f"round({sql_ratio(f'{buy} - {sell}', f'{buy} + {sell}')}, 9) AS strength_{s}s, round(sum(CASE WHEN ltq > 0 THEN 1 ELSE 0 END) {over} / {d(float(s))}, 9) AS intensity_{s}s"
+
+
+@query(f"WITH {sql_ticks()}, {SQL_SIDE} SELECT instrument_token, seq, {', '.join(map(_sql_rolling, extras.WINDOWS_SEC))} FROM sided")
+def rolling_strength(spark, sf):
+    t = extras.rolling_strength(flow.aggressor(ticks.load(spark, sf)))
+    return t.select("instrument_token", "seq", *[_r9(F.col(f"{n}_{s}s")).alias(f"{n}_{s}s") for s in extras.WINDOWS_SEC for n in ("strength", "intensity")])
+
+
+@query(f"WITH {sql_ticks(True)}, f AS ({sql_flow('ticks', 'instrument_token', 'mono_nanos, seq')}) SELECT instrument_token, seq, round(CASE WHEN l1_ofi IS NOT NULL THEN {sql_ratio('l1_ofi', 'qb0 + qa0')} END, 9) AS flow_share FROM f")
+def normalized_flow(spark, sf):
+    t = flow.order_flow(ticks.load(spark, sf, bad=True))
+    return t.select("instrument_token", "seq", _r9(extras.normalized_flow(t)).alias("flow_share"))
+
+
+@query(f"""WITH {sql_ticks()}, c AS (SELECT *, CASE WHEN seq % 40 = 7 THEN 0 ELSE seq END AS cum_volume, mono_nanos // 40 AS t FROM ticks), l AS (SELECT *, t - lag(t) OVER w AS wait, lag(cum_volume) OVER w AS before, lag(ltp) OVER w IS NOT DISTINCT FROM ltp AND lag(ltq) OVER w IS NOT DISTINCT FROM ltq AND lag(b0) OVER w IS NOT DISTINCT FROM b0 AND lag(a0) OVER w IS NOT DISTINCT FROM a0 AS same
+FROM c WINDOW w AS (PARTITION BY instrument_token ORDER BY t, seq))
+SELECT instrument_token, seq, coalesce(same AND wait < 500000000, false) AS duplicate, coalesce(cum_volume < before, false) AS volume_fell, coalesce(wait > 1000000000, true) AS after_gap FROM l""")
+def quality_flags(spark, sf):
+    """On a clock forty times as fast, with quantities alike, so that there are duplicates and falls."""
+    t = ticks.load(spark, sf)
+    t = t.withColumns({"cum_volume": F.when(F.col("seq") % 40 == 7, 0).otherwise(F.col("seq")), "mono_nanos": F.expr("mono_nanos div 40"), "qb0": F.lit(1), "qa0": F.lit(1)})
+    return extras.quality_flags(t, 500, 1).select("instrument_token", "seq", "duplicate", "volume_fell", "after_gap")
+
+
+def _sql_fresh(h: int) -> str:
+    return f"CASE WHEN max(CASE WHEN snapshot_age_ms > {schema.STALE_MS} THEN 1 ELSE 0 END) OVER (PARTITION BY instrument_token, interval_ms ORDER BY grid_seq ROWS BETWEEN CURRENT ROW AND {h} FOLLOWING) = 0 THEN round(r_{h}s, 9) END AS r_{h}s"
+
+
+@query(f"WITH {sql_table((1000,))} SELECT instrument_token, grid_seq, {', '.join(map(_sql_fresh, schema.HORIZONS_SEC))} FROM full_table")
+def fresh_returns(spark, sf):
+    """Forward returns that no stale grid row lies in."""
+    t = extras.fresh_returns(table.feature_table(ticks.load(spark, sf)), (1000,))
+    return rounded(t.select("instrument_token", "grid_seq", *[f"r_{h}s" for h in schema.HORIZONS_SEC]))
+
+
+@query(f"SELECT event_id FROM events WHERE {_PHASE} = 'CONTINUOUS_TRADING'")
+def continuous_only(spark, sf):
+    return extras.continuous_only(spark.read.parquet(f"{sf}/events.parquet"), F.col("ts").cast("timestamp")).select("event_id")
+
+
+_CUTS, _REGIMES = (30.0, 45.0), ("tight", "usual", "wide")
+_REGIME = "CASE WHEN rel_spread_bps < 30 THEN 'tight' WHEN rel_spread_bps < 45 THEN 'usual' ELSE 'wide' END"
+
+
+@query(f"""WITH {sql_table((1000,))}, c AS (SELECT {_REGIME} AS regime, round(w_obi_lin, 9) AS x, round(r_5s, 9) AS y FROM full_table WHERE w_obi_lin IS NOT NULL AND r_5s IS NOT NULL),
+k AS (SELECT regime, 2 * rank() OVER (PARTITION BY regime ORDER BY x) + count(*) OVER (PARTITION BY regime, x) - 1 AS a, 2 * rank() OVER (PARTITION BY regime ORDER BY y) + count(*) OVER (PARTITION BY regime, y) - 1 AS b FROM c)
+SELECT regime, count(*) AS n, round(corr(a, b), 6) AS ic FROM k GROUP BY regime""")
+def regime_ic(spark, sf):
+    """Rank correlation of the imbalance with the return in three regimes of the spread."""
+    t = table.feature_table(ticks.load(spark, sf))
+    cells = t.select(extras.segment(F.col("rel_spread_bps"), _CUTS, _REGIMES).alias("regime"), _r9(F.col("w_obi_lin")).alias("x"), _r9(F.col("r_5s")).alias("y"))
+    return research.rank_ic(cells, ("regime",)).withColumn("ic", F.round("ic", 6))
+
+
+@query(f"WITH {sql_table((1000,))}, b AS (SELECT {', '.join(f'CASE WHEN {c} > 1.5e-1 THEN 1 WHEN {c} < -1.5e-1 THEN -1 ELSE 0 END AS {n}' for c, n in (('w_obi_lin', 'band_a'), ('trade_strength', 'band_b')))}, r_5s FROM full_table WHERE w_obi_lin IS NOT NULL AND trade_strength IS NOT NULL AND r_5s IS NOT NULL) SELECT band_a, band_b, count(*) AS n, round(avg(r_5s), 9) AS mean_target FROM b GROUP BY ALL")
+def confluence(spark, sf):
+    t = extras.confluence(table.feature_table(ticks.load(spark, sf)), "w_obi_lin", "trade_strength", "r_5s", schema.NEUTRAL_BAND)
+    return t.withColumn("mean_target", _r9(F.col("mean_target")))
+
+
+@query(sql_ic((1000,), schema.HORIZONS_SEC, schema.IC_FEATURES) + ", f AS (SELECT *, first_value(abs(ic)) OVER (PARTITION BY interval_ms, feature ORDER BY horizon) AS one FROM ic) SELECT interval_ms, feature, horizon, round(abs(ic), 9) AS abs_ic, round(CASE WHEN one > 0 THEN abs(ic) / one END, 6) AS share FROM f")
+def decay_curve(spark, sf):
+    """How the correlation of each feature falls with the horizon."""
+    t = extras.decay(_ic(spark, sf, (1000,), schema.HORIZONS_SEC, schema.IC_FEATURES))
+    return t.withColumns({"abs_ic": _r9(F.col("abs_ic")), "share": F.round("share", 6)})
+
+
+def _sql_depth(n: int) -> str:
+    b, a = (" + ".join(f"q{s}{i}" for i in range(n)) for s in "ba")
+    return f"{sql_ratio(f'({b}) - ({a})', f'({b}) + ({a})')} AS obi_{n}"
+
+
+@query(f"WITH {sql_ticks()}, o AS (SELECT instrument_token, {_sql_depth(2)}, {_sql_depth(5)} FROM ticks) SELECT instrument_token, count(*) AS n, round(avg(abs(obi_2 - obi_5)), 9) AS mean_gap, round(corr(obi_2, obi_5), 6) AS r FROM o GROUP BY instrument_token")
+def depth_comparison(spark, sf):
+    """Imbalances of the two best levels against those of all five."""
+    t = extras.depth_imbalances(ticks.load(spark, sf), (2, 5))
+    return t.groupBy("instrument_token").agg(F.count("*").alias("n"), _r9(F.avg(F.abs(F.col("obi_2") - F.col("obi_5")))).alias("mean_gap"), F.round(F.corr("obi_2", "obi_5"), 6).alias("r"))
+
+
+@query(f"WITH {sql_table((1000,))}, s AS (SELECT *, CASE WHEN mid_price > 0 AND lag(mid_price) OVER w > 0 THEN ln(mid_price / lag(mid_price) OVER w) END AS step FROM full_table WINDOW w AS (PARTITION BY instrument_token, interval_ms ORDER BY grid_seq)) SELECT instrument_token, grid_seq, round(stddev_samp(step) OVER (PARTITION BY instrument_token, interval_ms ORDER BY grid_seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 6) AS sigma FROM s")
+def realized_sigma(spark, sf):
+    t = extras.realized_sigma(table.feature_table(ticks.load(spark, sf)))
+    return t.select("instrument_token", "grid_seq", F.round("sigma", 6).alias("sigma"))
