@@ -529,8 +529,9 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[text(c, t).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
 
 
-def _flat_sql() -> str:
-    text = lambda e: f"'[' || array_to_string({e}, ',') || ']'"
+def _flat_sql(more: int = 0) -> str:
+    """more: levels of zeros beyond the five."""
+    text = lambda e: f"'[' || array_to_string(list_concat({e}, [{', '.join(['0'] * more)}]), ',') || ']'"
     cents = lambda s: f"list_transform({_ARRAY(s)}, lambda v: CAST(round(v * 100) AS BIGINT))"
     parts = ", ".join(f"{text(cents(s))} AS {n}_prices, {text(_ARRAY(s, 'q'))} AS {n}_quantities, {text(_ARRAY(s, 'o'))} AS {n}_orders" for n, s in (("bid", "b"), ("ask", "a")))
     return f"instrument_token, 'TOKEN_' || instrument_token AS symbol, mono_nanos AS client_arrival_nanos, ltp, ltq, {parts}, {TAG} AS state_tag"
@@ -547,25 +548,43 @@ def kite_decode(spark, sf):
     return _flat(decoders.kite(p).select(*_SNAP))
 
 
-@query(f"WITH {sql_ticks(True)} SELECT {_flat_sql()} FROM ticks")
+@query(f"WITH {sql_ticks(True)} SELECT {_flat_sql(15)} FROM ticks")
 def dhan_decode(spark, sf):
-    """Ticks as JSON messages of five levels and decoded again; levels beyond are zeros and cut off here."""
+    """Ticks as JSON messages of five levels and decoded again; the levels beyond, up to 20, are zeros."""
     t = ticks.load(spark, sf, bad=True)
     side = lambda s: F.array(*[F.struct(F.col(f"{s}{i}").alias("price"), F.col(f"q{s}{i}").alias("quantity"), F.col(f"o{s}{i}").alias("orders")) for i in range(5)])
     message = F.to_json(F.struct(F.col("instrument_token").cast("string").alias("securityId"), F.col("ltp").alias("LTP"), F.col("ltq").alias("LTQ"), F.struct(side("b").alias("buy"), side("a").alias("sell")).alias("depth")))
     out = decoders.dhan(t.select(message.alias("json"), F.col("mono_nanos").alias("arrival_nanos"), F.col("epoch_micros").alias("arrival_micros")))
-    return _flat(out.select(*[F.slice(c, 1, 5).alias(c) if c[:4] in ("bid_", "ask_") else F.col(c) for c in _SNAP]))
+    return _flat(out.select(*_SNAP))
+
+
+def _sql_levels(side: str) -> str:
+    return "[" + ", ".join(f"{side}{i}" for i in range(5)) + "]"
 
 
-@query(f"""WITH {sql_ticks(True)} SELECT instrument_token, mono_nanos AS client_arrival_nanos, round({MID}, 9) AS mid, {TAG} AS tag, round(greatest(-1e2, least(1e2, coalesce({sql_features()['l1_obi']}, 0e0) * 1e2)), 6) AS imbalance, 5 AS n_bids, greatest({', '.join(f'q{s}{i}' for s in 'ba' for i in range(5))}, 1)::BIGINT AS depth_scale,
-CASE WHEN coalesce({sql_features()['l1_obi']}, 0e0) * 1e2 > 0.25 THEN 'buy' WHEN coalesce({sql_features()['l1_obi']}, 0e0) * 1e2 < -0.25 THEN 'sell' ELSE 'neutral' END AS gauge FROM ticks""")
+_IMBALANCE = f"(coalesce({sql_features()['l1_obi']}, 0e0) * 1e2)"
+
+
+@query(f"""WITH {sql_ticks(True)} SELECT 'orderbook_snapshot' AS type, 'MOCK' AS source, instrument_token, 'TOKEN_' || instrument_token AS symbol, epoch_micros AS arrival_micros, ltp, ltq, ltq AS volume, ltp AS vwap,
+round({MID}, 9) AS mid, round({SPREAD}, 9) AS spread, {TAG} AS tag, round(greatest(-1e2, least(1e2, {_IMBALANCE})), 6) AS imbalance, 0e0 AS strength, 'MODE_BASELINE_ACTIVE' AS mode, 0e0 AS down, 1e2 AS neutral, 0e0 AS up, 0e0 AS score, false AS calibrated,
+{", ".join(f"round(list_sum(list_transform({_sql_levels(s)}, lambda v: v)), 6) AS {n}_prices, list_sum({_sql_levels('q' + s)})::BIGINT AS {n}_quantities, list_sum({_sql_levels('o' + s)})::BIGINT AS {n}_orders" for s, n in (("b", "bid"), ("a", "ask")))},
+greatest({', '.join(f'q{s}{i}' for s in 'ba' for i in range(5))}, 1)::BIGINT AS depth_scale, CASE WHEN {_IMBALANCE} > 0.25 THEN 'buy' WHEN {_IMBALANCE} < -0.25 THEN 'sell' ELSE 'neutral' END AS gauge FROM ticks""")
 def ui_messages(spark, sf):
-    """Dashboard messages, read back from their JSON."""
+    """Dashboard messages: all 22 fields, read back from their JSON, levels as their sums."""
     s = ticks.snapshots(ticks.load(spark, sf, bad=True))
     b = Book.arrays()
     m = store.messages(s, b.obi(b.ready()), F.lit(0.0))
-    j = F.from_json("message", "midPrice double, stateTag string, depthImbalancePercent double, bids array<struct<price: double, quantity: bigint, orders: int>>")
-    return m.withColumn("j", j).select("instrument_token", "client_arrival_nanos", _r9(F.col("j.midPrice")).alias("mid"), F.col("j.stateTag").alias("tag"), F.round("j.depthImbalancePercent", 6).alias("imbalance"), F.size("j.bids").alias("n_bids"), "depth_scale", "gauge")
+    level = "array<struct<price: double, quantity: bigint, orders: int>>"
+    names = {
+        "type": ("type", "string"), "sourceId": ("source", "string"), "symbol": ("symbol", "string"), "clientArrivalMicros": ("arrival_micros", "bigint"), "ltp": ("ltp", "double"), "ltq": ("ltq", "bigint"),
+        "cumulativeVolume": ("volume", "bigint"), "dayVwap": ("vwap", "double"), "stateTag": ("tag", "string"), "tradeStrengthPercent": ("strength", "double"), "predictionMode": ("mode", "string"),
+        "probabilityDownPercent": ("down", "double"), "probabilityNeutralPercent": ("neutral", "double"), "probabilityUpPercent": ("up", "double"), "predictionScorePercent": ("score", "double"), "calibratedProbabilities": ("calibrated", "boolean"),
+    }
+    schema_ = ", ".join([f"{k} {t}" for k, (_, t) in names.items()] + ["instrumentToken bigint", "midPrice double", "spread double", "depthImbalancePercent double", f"bids {level}", f"asks {level}"])
+    total = lambda c, f, zero: F.aggregate(F.transform(F.col(f"j.{c}"), lambda v: v[f]), zero, lambda a, v: a + v)
+    sums = [x for c, n in (("bids", "bid"), ("asks", "ask")) for x in (F.round(total(c, "price", F.lit(0.0)), 6).alias(f"{n}_prices"), total(c, "quantity", F.lit(0).cast("bigint")).alias(f"{n}_quantities"), total(c, "orders", F.lit(0)).cast("bigint").alias(f"{n}_orders"))]
+    j = m.select(F.from_json("message", schema_).alias("j"), "depth_scale", "gauge")
+    return j.select(*[F.col(f"j.{k}").alias(n) for k, (n, _) in names.items()], F.col("j.instrumentToken").alias("instrument_token"), _r9(F.col("j.midPrice")).alias("mid"), _r9(F.col("j.spread")).alias("spread"), F.round("j.depthImbalancePercent", 6).alias("imbalance"), *sums, "depth_scale", "gauge")
 
 
 @query("""WITH r AS (SELECT s_name AS source, s_suppkey % 3 = 0 AS credentials, s_suppkey % 2 = 0 AS implemented, s_suppkey = 6 AS selected, CASE WHEN s_suppkey = 6 THEN ' ' || s_nationkey || ', 536,' || s_nationkey || ',,7 ' ELSE s_nationkey::VARCHAR END AS given FROM supplier),
@@ -607,12 +626,16 @@ def stream_locf(spark, sf):
 
 @query()
 def ml_report(spark, sf):
-    """A forest trained on the first purged fold and judged on its test block."""
+    """Each kind of model trained on the last of three purged folds and judged on its test block; exact trees have no SQL form."""
     t = ml.matrix(table.feature_table(ticks.load(spark, sf)).withColumn("t", F.col("grid_nanos")))
-    s = research.walk_forward(t, "t", 1, 5 * schema.SECOND, 5 * schema.SECOND, 2 * schema.SECOND)
-    model, _ = ml.train(s.where("part = 'train'"), trees=8)
-    p = ml.predict(model, s.where("part = 'test'"))
-    return ml.accuracy(p).crossJoin(F.broadcast(ml.model_ic(p).select("ic", "t_stat", "p_value")))
+    s = research.walk_forward(t, "t", 3, 5 * schema.SECOND, 5 * schema.SECOND, 2 * schema.SECOND).where("fold = 2")
+    s = Scratch(spark).write(s)
+    out = []
+    for kind in ml.KINDS:
+        model, _ = ml.train(s.where("part = 'train'"), trees=10, depth=4, kind=kind)
+        p = ml.predict(model, s.where("part = 'test'"))
+        out.append(ml.accuracy(p).crossJoin(F.broadcast(ml.model_ic(p).select("ic", "t_stat", "p_value"))).select(F.lit(kind).alias("kind"), "*"))
+    return out[0].union(out[1]).union(out[2])
 
 
 @query(f"WITH {sql_table((1000,))}, m AS (SELECT * FROM full_table WHERE r_5s IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in schema.MODEL_FEATURES)}) " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({f}), 6) AS mean, round(CASE WHEN stddev_pop({f}) < 1e-12 THEN 1e0 ELSE stddev_pop({f}) END, 6) AS std FROM m" for f in schema.MODEL_FEATURES))
