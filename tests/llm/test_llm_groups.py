@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import marks, neardup, sharding
+from tickloom.llm import marks, neardup, queries, sharding
 from tickloom.llm.components import components
-from tickloom.llm.scratch import Scratch
+from tickloom.sources.scratch import Scratch
 
 
 def brute(rows, words, percent):
@@ -79,6 +79,20 @@ def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.groups(twice).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+@pytest.mark.parametrize("name", ["op5_decontamination", "op6_license_scan", "op9_near_dedup"])
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = db.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+
+
 def test_least_matches():
     assert 0 < neardup.least_matches(80) < neardup.least_matches(85) < neardup.COORDINATES
 

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tickloom.llm import ragged
 from tickloom.llm.components import components
 from tickloom.llm.marks import MARKED, marked
-from tickloom.llm.scratch import Scratch
+from tickloom.sources.scratch import Scratch
 
 #: Coordinates of a signature.
 COORDINATES = 48
@@ -262,3 +262,19 @@ def distinct(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: components of all documents, on shingles of 3 words with a similarity of 85 percent."""
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * c >= 85 * (u.n + v.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS id, a AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
+"""

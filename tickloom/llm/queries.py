@@ -34,4 +34,5 @@ QUERIES = {name: _in_small_batches(query) for name, query in QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE_SQL,
     "op6_license_scan": licenses.ORACLE_SQL,
+    "op9_near_dedup": neardup.ORACLE_SQL,
 }
