@@ -20,9 +20,9 @@ NEUTRAL_BAND = 0.15
 
 MS, SECOND = 1_000_000, 1_000_000_000
 
-#: Features whose rank correlation with forward returns is tested.
+#: Features whose rank correlation with forward returns is tested (fixed values).
 IC_FEATURES = ("l1_obi", "total_obi", "w_obi_lin", "w_obi_exp", "micro_pressure_bps", "ml_microprice", "l1_ofi", "ml_ofi_uniform", "ml_ofi_exp", "trade_strength")
-#: Features of the classifiers, in their order.
+#: Features of the classifiers, in their order (fixed values).
 MODEL_FEATURES = ("l1_obi", "total_obi", "w_obi_lin", "w_obi_exp", "microprice", "micro_pressure", "l1_ofi", "ml_ofi_uniform", "ml_ofi_exp", "trade_strength", "rel_spread_bps", "snapshot_age_ms")
 
 
@@ -33,7 +33,7 @@ def exp_weights(decay: float = EXP_LAMBDA, levels: int = 5) -> tuple[float, ...]
 
 _LONGS, _INTS, _DOUBLES = (T.ArrayType(t) for t in (T.LongType(), T.IntegerType(), T.DoubleType()))
 
-#: A market snapshot with its depth as arrays, best level first.
+#: A market snapshot with its depth as arrays, best level first (fixed names).
 SNAPSHOT = T.StructType([
     T.StructField("source_id", T.StringType()),
     T.StructField("instrument_token", T.LongType()),
@@ -55,7 +55,7 @@ SNAPSHOT = T.StructType([
     T.StructField("state_tag", T.StringType()),
 ])
 
-#: The feature table without its partition columns' path order.
+#: The feature table without its partition columns' path order (fixed names).
 FEATURE_COLUMNS = (
     "grid_seq", "grid_nanos", "delta_nanos", "instrument_token", "symbol", "snapshot_age_ms",
     "best_bid", "best_ask", "mid_price", "spread", "rel_spread_bps", "ltp", "cum_volume", "vwap",
