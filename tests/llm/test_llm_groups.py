@@ -229,6 +229,28 @@ def test_pipeline(spark, sf):
     assert len(ids) == n[4]
 
 
+def test_pipeline_of_repeated_and_very_long_rows(spark, sf):
+    """Rows that repeat a document share its fate; a text of megabytes passes whole; nulls in every other column do no harm."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    prose = [r["text"] for r in docs.where("lang = 'en' and n_chars > 500").limit(4).collect()]
+    words = " ".join(prose).split()
+    rng = random.Random(5)
+    long = " ".join(rng.choice(words) for _ in range(400_000)) + " token = abcdef123456 end"
+    extra = [(20_000, long, None, None, None)] + [(20_001, " ".join(rng.choice(words) for _ in range(80)), None, None, None)] * 3 + [(20_002, "", "en", None, 0)] * 2
+    few = docs.limit(60).unionByName(spark.createDataFrame(extra, docs.schema))
+    scratch = Scratch(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        few = scratch.write(stage(spark, few, sf))
+        n = Counter(r["doc_id"] for r in few.where("doc_id >= 20000").select("doc_id").collect())
+        if name != "packing":
+            assert n == {20_000: 1, 20_001: 3}
+        if name == "secrets":
+            text = few.where("doc_id = 20000").first()
+            assert text["text"].endswith("[SECRET] end") and text["n_chars"] == len(text["text"]) > 1_000_000
+    pieces = few.where("doc_id = 20000").orderBy("start").collect()
+    assert sum(r["length"] for r in pieces) == pieces[0]["doc_tokens"] > 400_000 and max(r["length"] for r in pieces) <= 4096
+
+
 def test_pipeline_of_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     scratch = Scratch(spark)
