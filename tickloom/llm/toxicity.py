@@ -25,7 +25,7 @@ BUCKETS, WIDTH, GRAMS = 1 << 18, 8, (3, 4, 5)
 #: Words in a passage.
 PASSAGE = 3
 #: Labelled documents that the model is fitted on, by label, and the most bytes of all those of a label.
-PER_LABEL, MOST_BYTES = {0: 4000, 1: 2000}, 12_000_000
+PER_LABEL, MOST_BYTES = {0: 3000, 1: 1500}, 6_000_000
 #: Rounds of full-batch training: on means of whole documents first, then on worst passages.
 WARM, ROUNDS = 8, 45
 
@@ -154,9 +154,9 @@ def train(texts: list[str], labels: np.ndarray, rate: float = 0.15, seed: int =
     filled = np.flatnonzero(w.count)
     count = w.count[filled]
     first = np.cumsum(count) - count
-    counted = np.concatenate([[0], np.cumsum(w.n_subwords[w.word])])
-    end = np.repeat(first + count, count)
-    upto = np.minimum(np.arange(w.word.size) + PASSAGE, end)  # a passage's words: from its place to here
+    counted = np.concatenate([[0], np.cumsum(w.n_subwords[w.word])]).astype(np.int32)
+    upto = np.minimum(np.arange(PASSAGE, w.word.size + PASSAGE, dtype=np.int32), np.repeat((first + count).astype(np.int32), count))  # a passage's words: from its place to here
+    inside = np.maximum(1, counted[upto] - counted[:-1])
     for round_ in range(ROUNDS):
         value = (table @ soft).astype(np.float64)
         of_word = np.bincount(w.owner, value[w.bucket], w.n_subwords.size)
@@ -165,20 +165,20 @@ def train(texts: list[str], labels: np.ndarray, rate: float = 0.15, seed: int =
             lo, hi = first, first + count
             z = (summed[hi] - summed[lo]) / np.maximum(1, counted[hi] - counted[lo]) + bias
         else:
-            each = (summed[upto] - summed[:-1]) / np.maximum(1, counted[upto] - counted[:-1]) + bias
+            each = summed[upto]
+            each -= summed[:-1]
+            each /= inside
+            each += bias
             z = np.maximum.reduceat(each, first) if first.size else np.zeros(0)
             at = np.flatnonzero(each == np.repeat(z, count))
             lo = at[np.searchsorted(at, first)]  # the first of equals
             hi = upto[lo]
         slope = weight[filled] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[filled])
         # Each subword inside the passage chosen in its text gets the text's slope.
-        change = np.zeros(w.word.size + 1)
-        np.add.at(change, lo, slope / np.maximum(1, counted[hi] - counted[lo]))
-        np.add.at(change, hi, -slope / np.maximum(1, counted[hi] - counted[lo]))
-        passed = np.cumsum(change[:-1])
-        passed[np.abs(passed) < 1e-15] = 0
-        on = np.flatnonzero(passed)
-        rows = np.bincount(w.bucket, np.bincount(w.word[on], passed[on], w.n_subwords.size)[w.owner], BUCKETS).astype(np.float32)
+        size = hi - lo
+        on = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        of_word = np.bincount(w.word[on], np.repeat(slope / np.maximum(1, counted[hi] - counted[lo]), size), w.n_subwords.size)
+        rows = np.bincount(w.bucket, of_word[w.owner], BUCKETS).astype(np.float32)
         used = np.flatnonzero(rows)
         grad_t = rows[used, None] * soft
         grad_s = rows[used] @ table[used]
