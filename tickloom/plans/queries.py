@@ -712,11 +712,11 @@ def csv_form(spark, sf):
     return store.csv_rows(table.feature_table(ticks.load(spark, sf))).select(*_TEXT)
 
 
-@query(f"WITH {sql_table((1000,))} SELECT instrument_token, grid_seq, " + ", ".join(f"round(CASE WHEN best_bid > 0 AND mid_price * exp(r_{h}s) > 0 THEN (best_bid - mid_price * exp(r_{h}s)) / best_bid - {d(scores.fixed_cost())} END, 9) AS short_{h}s" for h in schema.HORIZONS_SEC) + " FROM full_table")
+@query(f"WITH {sql_table((1000,))} SELECT instrument_token, grid_seq, " + ", ".join(f"round(CASE WHEN best_bid > 0 AND mid_price * exp(r_{h}s) > 0 THEN (best_bid - mid_price * exp(r_{h}s)) / best_bid - {d(scores.fixed_cost())} END, 6) AS short_{h}s" for h in schema.HORIZONS_SEC) + " FROM full_table")
 def short_returns(spark, sf):
     """Sell at the bid, buy back at the forward mid, less costs."""
     t = table.feature_table(ticks.load(spark, sf))
-    return t.select("instrument_token", "grid_seq", *[_r9(scores.short_return(F.col("best_bid"), F.col("mid_price") * F.exp(F.col(f"r_{h}s")), scores.fixed_cost())).alias(f"short_{h}s") for h in schema.HORIZONS_SEC])
+    return t.select("instrument_token", "grid_seq", *[F.round(scores.short_return(F.col("best_bid"), F.col("mid_price") * F.exp(F.col(f"r_{h}s")), scores.fixed_cost()), 6).alias(f"short_{h}s") for h in schema.HORIZONS_SEC])
 
 
 _MATRIX = f"m AS (SELECT * FROM full_table WHERE r_5s IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in schema.MODEL_FEATURES)})"
