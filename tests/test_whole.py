@@ -83,3 +83,23 @@ def test_whole_surface_equals_brute_force(spark, sf, tmp_path):
         least = min(least, p_values[c] * len(order) / (len(order) - k))
         adjusted[c] = least
     assert all(tests[c]["p_adjusted"] == pytest.approx(adjusted[c], rel=1e-5, abs=1e-12) for c in order)
+
+
+def test_false_discovery_of_large_families(spark):
+    """As a plain loop corrects them, with ties, undefined p-values and a family without a name; no frame is summed anew for each row."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float("nan"), 0.0, rng.randrange(50) / 1000, rng.random(), rng.random() ** 4])) for i in range(6000)]
+    out = research.benjamini_hochberg(spark.createDataFrame(rows, "position long, family string, p_value double"))
+    got = {r["position"]: (r["rank"], r["p_adjusted"], r["rejected"]) for r in out.collect()}
+    want = {i: (None, None, False) for i, _, _ in rows}
+    for family in ("a", "b", None):
+        own = sorted((p, i) for i, f, p in rows if f == family and p is not None and p == p)
+        last, least = max((k for k, (p, _) in enumerate(own, 1) if p <= 0.05 * k / len(own)), default=0), 1.0
+        for k in range(len(own), 0, -1):
+            p, i = own[k - 1]
+            least = min(least, p * len(own) / k)
+            want[i] = (k, least, k <= last)
+    assert got == want
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString()

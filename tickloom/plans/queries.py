@@ -458,7 +458,7 @@ def surface_peak(spark, sf):
 def surface_tests(spark, sf):
     """Rank correlations of the whole surface with their p-values, corrected as one family; the t tail has no SQL form."""
     t = research.surface_tests(_ic(spark, sf, *_WHOLE))
-    return research.benjamini_hochberg(t)
+    return research.benjamini_hochberg(t).withColumn("rank", F.col("rank").cast("int"))
 
 
 _P = "CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE ((p_partkey * 7919) % 10007) * ((p_partkey * 104729) % 10009) / 1.00160063e8 / 50 END"

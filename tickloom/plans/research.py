@@ -232,16 +232,36 @@ def tested(ic: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, q: float = 0.05, family: tuple[str, ...] = ("family",), order: tuple[str, ...] = ("position",), p: str = "p_value") -> DataFrame:
-    """tests with rank, p_adjusted and rejected, each family corrected on its own; an undefined p is not rejected."""
+    """tests with rank, p_adjusted and rejected, each family corrected on its own; an undefined p is not rejected.
+
+    Tests are dealt by range of family, p and order, so a family spreads over many tasks; a row for
+    each family and range carries the tests of the ranges before and the least adjusted p of those after.
+    """
+    scratch = Scratch(tests.sparkSession)
     ok = F.col(p).isNotNull() & ~F.isnan(p)
-    sorted_ = Window.partitionBy(*family, "_ok").orderBy(p, *order)
+    every = scratch.write(tests.withColumn("_ok", ok).repartitionByRange(*family, "_ok", p, *order).withColumn("_part", F.spark_partition_id()))
+    keys = (*family, "_ok", "_part")
+
+    def with_sums(rows: DataFrame, sums: DataFrame) -> DataFrame:
+        """rows with the columns that sums has for their keys; a family can be NULL."""
+        sums = sums.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in sums.columns if c not in keys])
+        return rows.join(sums, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys)), "left").drop(*[f"_key_{k}" for k in keys])
+
     whole = Window.partitionBy(*family, "_ok")
-    out = tests.withColumn("_ok", ok).withColumns({"rank": F.row_number().over(sorted_), "_m": F.count("*").over(whole)})
-    out = out.withColumn("rank", F.when(F.col("_ok"), F.col("rank")))
-    last = F.max(F.when(F.col("_ok") & (F.col(p) <= q * F.col("rank") / F.col("_m")), F.col("rank"))).over(whole)
-    smallest = F.min(F.col(p) * F.col("_m") / F.col("rank")).over(sorted_.rowsBetween(0, Window.unboundedFollowing))
-    out = out.withColumns({"p_adjusted": F.when(F.col("_ok"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), smallest))), "rejected": F.coalesce(F.col("_ok") & (F.col("rank") <= last), F.lit(False))})
-    return out.drop("_ok", "_m")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = every.groupBy(*keys).agg(F.count("*").alias("_n"))
+    counts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_m"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(p, *order))
+    ranked = with_sums(every, counts).withColumn("rank", F.when(F.col("_ok"), place + F.col("_before")))
+    adjusted = F.col(p) * F.col("_m") / F.col("rank")
+    ends = ranked.where("_ok").groupBy(*keys).agg(F.min(adjusted).alias("_low"), F.max(F.when(F.col(p) <= q * F.col("rank") / F.col("_m"), F.col("rank"))).alias("_own"))
+    after = whole.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, F.min("_low").over(after).alias("_after"), F.max("_own").over(whole).alias("_last"))
+    # From the last test of a range to its first: a frame that grows is summed up once.
+    smallest = F.least(F.min(adjusted).over(Window.partitionBy(*keys).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)), F.col("_after"))
+    out = with_sums(ranked, ends)
+    out = out.withColumns({"p_adjusted": F.when(F.col("_ok"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), smallest))), "rejected": F.coalesce(F.col("_ok") & (F.col("rank") <= F.col("_last")), F.lit(False))})
+    return out.drop("_ok", "_m", "_part", "_before", "_after", "_last")
 
 
 def report(tests: DataFrame) -> DataFrame:
