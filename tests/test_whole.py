@@ -103,3 +103,34 @@ def test_false_discovery_of_large_families(spark):
             want[i] = (k, least, k <= last)
     assert got == want
     assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("bad", [False, True])
+def test_runs_stand_for_the_rows_of_the_feature_table(spark, sf, bad):
+    names, intervals = schema.IC_FEATURES, (250, 1000, 2000)
+    columns = ["instrument_token", "interval_ms", *names, *[f"r_{h}s" for h in schema.HORIZONS_SEC]]
+    t = ticks.load(spark, sf, bad=bad).where("instrument_token < 6")
+    table = features.feature_table(t, intervals)
+    last = table.groupBy("instrument_token", "interval_ms").agg(F.max("grid_nanos").alias("_g"))
+    ripe = table.join(last, ["instrument_token", "interval_ms"]).where(F.col("_g") >= F.col("grid_nanos") + 60 * schema.SECOND)
+    runs = features.feature_runs(t, intervals, names)
+    count = lambda d, n: {tuple(r)[:-1]: r[-1] for r in d.groupBy(*columns).agg(n).collect()}
+    want = count(ripe, F.count("*"))
+    assert count(runs, F.sum("n_rows")) == want and len(want) > 100
+    if bad:
+        assert any(k[2] is None for k in want)
+
+
+def test_surfaces_follow_ticks_not_grid_points(spark, tmp_path):
+    """Three ticks with gaps of days between them: 8 million points, of which 14 pieces at most differ in each grid."""
+    day, start = 86_400_000_000, 1_704_067_200_000_000
+    rows = [(50, 1, start, 1.0), (78, 1, start + 10_000 * day, 2.0), (100, 1, start + 20_000 * day, 3.0)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, us long, value double")
+    e.select("event_id", "user_id", F.timestamp_micros("us").alias("ts"), F.lit("view").alias("event_type"), "value", F.lit("{}").alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    runs = features.feature_runs(ticks.load(spark, str(tmp_path)), schema.INTERVALS_MS, digits=9)
+    points = lambda ms: 20_000 * day * 5 // 18 // (ms * 1_000_000) - 60_000 // ms
+    got = {r["interval_ms"]: (r["n"], r["pieces"]) for r in runs.groupBy("interval_ms").agg(F.sum("n_rows").alias("n"), F.count("*").alias("pieces")).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {ms: points(ms) for ms in schema.INTERVALS_MS}
+    assert max(pieces for _, pieces in got.values()) <= 14
+    ic = queries.QUERIES["rank_ic_surface"](spark, str(tmp_path)).collect()
+    assert {(r["interval_ms"], r["n"]) for r in ic} == {(ms, points(ms)) for ms in schema.INTERVALS_MS}

@@ -424,8 +424,8 @@ ic AS (SELECT interval_ms, horizon, feature, n, CASE WHEN n >= 3 AND aa - mean >
 
 
 def _ic(spark, sf, intervals, horizons, names):
-    t = rounded(table.feature_table(ticks.load(spark, sf), intervals).select("interval_ms", *names, *[f"r_{h}s" for h in horizons]))
-    return research.table_ic(t, names, horizons)
+    t = table.feature_runs(ticks.load(spark, sf), intervals, names, horizons, digits=9)
+    return research.table_ic(t, names, horizons, "n_rows")
 
 
 @query(sql_ic((1000,), (5,), schema.IC_FEATURES) + " SELECT interval_ms, horizon, feature, n, round(ic, 9) AS ic FROM ic")

@@ -78,19 +78,20 @@ def _finite(c: str) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
-def table_ic(table: DataFrame, features: tuple[str, ...] = schema.IC_FEATURES, horizons: tuple[int, ...] = schema.HORIZONS_SEC) -> DataFrame:
+def table_ic(table: DataFrame, features: tuple[str, ...] = schema.IC_FEATURES, horizons: tuple[int, ...] = schema.HORIZONS_SEC, n: str | None = None) -> DataFrame:
     """rank_ic() of all features against all forward returns of a feature table, by interval_ms, horizon and feature.
 
     The table is evaluated once. Features that are defined in the same rows share the ranks of
     the returns, and returns that are defined in the same rows share the pass over a feature's
-    values, so neither the rows nor the ranks are made anew for each pair.
+    values, so neither the rows nor the ranks are made anew for each pair. A row stands for as many
+    as its column n says, for one without it.
     """
     targets = tuple(f"r_{h}s" for h in horizons)
     missing = [c for c in (*features, *targets) if c not in table.columns]
     if missing:
         raise ValueError(f"columns are missing: {missing}")
     scratch = Scratch(table.sparkSession)
-    rows = scratch.write(table.select("interval_ms", *[_finite(c).alias(c) for c in (*features, *targets)]))
+    rows = scratch.write(table.select("interval_ms", *[_finite(c).alias(c) for c in (*features, *targets)], (F.col(n).cast("long") if n else F.lit(1).cast("long")).alias("_n")))
     columns = (*features, *targets)
     patterns = _patterns(rows, columns)
     out = [table.sparkSession.createDataFrame([], "interval_ms int, horizon int, feature string, n long, ic double")]
@@ -98,18 +99,18 @@ def table_ic(table: DataFrame, features: tuple[str, ...] = schema.IC_FEATURES, h
         defined = rows.where(F.col(columns[own[0]]).isNotNull())
         for ys in _alike({p for p in patterns if p >> own[0] & 1}, range(len(features), len(columns))):
             own_names, ys = tuple(columns[k] for k in own), tuple(columns[k] for k in ys)
-            both = defined.where(F.col(ys[0]).isNotNull()).select("interval_ms", *own_names, *ys)
+            both = defined.where(F.col(ys[0]).isNotNull()).select("interval_ms", "_n", *own_names, *ys)
             pairs = F.explode(F.array(*[F.struct(F.lit(int(y[2:-1])).alias("horizon"), F.col(y).alias("y")) for y in ys]))
-            each = both.select("interval_ms", pairs.alias("_p")).select("interval_ms", "_p.*")
-            of_y = scratch.write(_ranks(scratch, each.groupBy("interval_ms", "horizon", "y").agg(F.count("*").alias("_t")), ("interval_ms", "horizon"), "y"))
+            each = both.select("interval_ms", "_n", pairs.alias("_p")).select("interval_ms", "_n", "_p.*")
+            of_y = scratch.write(_ranks(scratch, each.groupBy("interval_ms", "horizon", "y").agg(F.sum("_n").alias("_t")), ("interval_ms", "horizon"), "y"))
             for y in ys:
                 rank = of_y.where(F.col("horizon") == int(y[2:-1])).select("interval_ms", F.col("y").alias(y), F.col("_rank").alias(f"_b_{y}"))
                 both = both.join(rank, ["interval_ms", y])
             values = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in own_names]))
             # The high and the low bits of ranks are summed apart: both sums fit in a long.
-            sums = [x for y in ys for x in (F.sum(F.shiftright(f"_b_{y}", _LOW)).alias(f"_h_{y}"), F.sum(F.col(f"_b_{y}").bitwiseAND((1 << _LOW) - 1)).alias(f"_l_{y}"))]
-            wide = both.select("interval_ms", values.alias("_p"), *[f"_b_{y}" for y in ys]).select("interval_ms", "_p.*", *[f"_b_{y}" for y in ys])
-            wide = wide.groupBy("interval_ms", "feature", "x").agg(F.count("*").alias("_t"), *sums)
+            sums = [x for y in ys for x in (F.sum(F.shiftright(f"_b_{y}", _LOW) * F.col("_n")).alias(f"_h_{y}"), F.sum(F.col(f"_b_{y}").bitwiseAND((1 << _LOW) - 1) * F.col("_n")).alias(f"_l_{y}"))]
+            wide = both.select("interval_ms", "_n", values.alias("_p"), *[f"_b_{y}" for y in ys]).select("interval_ms", "_n", "_p.*", *[f"_b_{y}" for y in ys])
+            wide = wide.groupBy("interval_ms", "feature", "x").agg(F.sum("_n").alias("_t"), *sums)
             out.append(_table_sums(scratch, wide, of_y, ys))
     return reduce(DataFrame.union, out)
 
