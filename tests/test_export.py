@@ -54,3 +54,14 @@ def test_synthetic_surface(spark):
     with pytest.raises(ValueError, match="missing"):
         research.table_ic(t.drop("l1_obi"))
     assert set(schema.FEATURE_COLUMNS) <= set(t.columns)
+
+
+def test_export_is_made_and_written_by_many_tasks(spark, sf, tmp_path):
+    """Small logs become large tables: the tasks follow the cores, and an instrument's interval is still one file."""
+    log, out = str(tmp_path / "log"), tmp_path / "features"
+    wal.write(flow.cumulative(ticks.load(spark, sf)).where("instrument_token < 12").coalesce(1), log)
+    export.finalize_session(spark, log, str(out), "2026-08-29", intervals_ms=(1000, 2000))
+    files = list(out.rglob("*.parquet"))
+    folders = {f.parent for f in files}
+    assert len(files) == len(folders) == store.read_features(spark, str(out)).select("instrument_token", "interval_ms").distinct().count() > 8
+    assert len({f.name.split("-")[1] for f in files}) > 4
