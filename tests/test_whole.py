@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import schema
-from tickloom.plans import features, queries, research
+from tickloom.plans import features, queries, research, surface
 from tickloom.sources import ticks
 
 
@@ -134,3 +134,46 @@ def test_surfaces_follow_ticks_not_grid_points(spark, tmp_path):
     assert max(pieces for _, pieces in got.values()) <= 14
     ic = queries.QUERIES["rank_ic_surface"](spark, str(tmp_path)).collect()
     assert {(r["interval_ms"], r["n"]) for r in ic} == {(ms, points(ms)) for ms in schema.INTERVALS_MS}
+
+
+@pytest.mark.parametrize("bad", [False, True])
+def test_packed_surfaces_give_the_correlations_of_the_runs(spark, sf, monkeypatch, bad):
+    """Bit by bit, with chunks and ranges of a few rows, and with features and returns that are undefined in rows of their own."""
+    t = ticks.load(spark, sf, bad=bad).where("instrument_token < 6")
+    if bad:
+        t = t.withColumns({"b0": F.when(F.col("seq") % 7 == 0, 0.0).otherwise(F.col("b0")), "ltp": F.when(F.col("seq") % 11 != 0, F.col("ltp"))})
+    monkeypatch.setattr(surface, "CHUNK", 37)
+    monkeypatch.setattr(surface, "DEALT", 100)
+    rows = lambda d: {(r["interval_ms"], r["horizon"], r["feature"]): (r["n"], r["ic"]) for r in d.collect()}
+    intervals, horizons = (250, 2000), (1, 30)
+    want = rows(research.table_ic(features.feature_runs(t, intervals, horizons=horizons, digits=9), horizons=horizons, n="n_rows"))
+    assert rows(surface.runs_ic(t, intervals, horizons=horizons)) == want and len(want) == 40
+    if bad:
+        assert len({n for n, _ in want.values()}) > 6
+
+
+def test_packed_numbers_are_the_engines(spark):
+    import numpy as np
+
+    x = np.array([0.5e-9, 1.5e-9, -2.5e-9, 0.1234567885, 1e-3 / 3, 4200.0000000005, -1e7 / 3, 3e12 + 1 / 3, 0.0, 1e-30, float("inf"), float("nan")])
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x[:10]], "x double").select(F.round("x", 9)).collect()]
+    got = surface.rounded(x)
+    assert got[:10].tolist() == want and np.isnan(got[10:]).all()
+    big = np.array([3, 1 << 40, (1 << 62) + 1])
+    assert surface._total(big, big) == sum(int(v) ** 2 for v in big)
+    small = np.array([7, (1 << 31) - 1, 5])
+    assert surface._total(small, small) == sum(int(v) ** 2 for v in small)
+    r, n = np.array([0, 2, 2]), np.array([5, 1 << 33, 3])
+    for rank in (np.array([1, 9, 4]), np.array([1, 1 << 33, 4])):
+        assert surface._by_row(r, n, rank, 4).tolist() == [5, 0, (1 << 33) * int(rank[1]) + 12, 0]
+
+
+def test_surfaces_deal_out_packed_values_not_rows(spark, sf, monkeypatch):
+    """The registered queries take no path that joins ranks to rows."""
+    def refuse(*_, **__):
+        raise AssertionError("rows of a surface are ranked one by one")
+
+    monkeypatch.setattr(research, "table_ic", refuse)
+    assert queries.QUERIES["information_surface"](spark, sf).count() == 25
+    assert queries.QUERIES["surface_peak"](spark, sf).count() == 1
+    assert queries.QUERIES["surface_tests"](spark, sf).count() == 250
