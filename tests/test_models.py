@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import schema
-from tickloom.plans import features, ml, onnx_file
+from tickloom.plans import features, ml, onnx_file, queries, research
 from tickloom.sources import ticks
 
 
@@ -86,3 +86,20 @@ def test_thresholds_are_rounded_down():
         assert onnx_file._float_below(x) <= x
     with pytest.raises(ValueError, match="one of"):
         ml._stage("other", 1, 1, 1)
+
+
+def test_report_evaluates_the_table_once(spark, sf, monkeypatch):
+    """Folds are found on a written table in the models' columns, with all rows of the feature table that models can take."""
+    class Seen(Exception):
+        pass
+
+    def folds(df, *_):
+        raise Seen(df)
+
+    monkeypatch.setattr(research, "walk_forward", folds)
+    with pytest.raises(Seen) as seen:
+        queries.QUERIES["ml_report"](spark, sf)
+    df = seen.value.args[0]
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    want = ml.matrix(features.feature_table(ticks.load(spark, sf))).withColumn("t", F.col("grid_nanos")).select(*df.columns)
+    assert df.exceptAll(want).count() == 0 and df.count() == want.count() > 1000

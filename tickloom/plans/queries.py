@@ -627,9 +627,12 @@ def stream_locf(spark, sf):
 @query()
 def ml_report(spark, sf):
     """Each kind of model trained on the last of three purged folds and judged on its test block; exact trees have no SQL form."""
-    t = ml.matrix(table.feature_table(ticks.load(spark, sf)).withColumn("t", F.col("grid_nanos")))
+    t = ml.matrix(table.feature_table(ticks.load(spark, sf)))
+    scratch = Scratch(spark)
+    # The table is evaluated once, in the columns that models take; folds are found on what is written.
+    t = scratch.write(t.select(F.col("grid_nanos").alias("t"), *schema.MODEL_FEATURES, ml.TARGET, "r" + ml.TARGET[1:], "class"))
     s = research.walk_forward(t, "t", 3, 5 * schema.SECOND, 5 * schema.SECOND, 2 * schema.SECOND).where("fold = 2")
-    s = Scratch(spark).write(s)
+    s = scratch.write(s)
     out = []
     for kind in ml.KINDS:
         model, _ = ml.train(s.where("part = 'train'"), trees=10, depth=4, kind=kind)
