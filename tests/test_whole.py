@@ -177,3 +177,48 @@ def test_surfaces_deal_out_packed_values_not_rows(spark, sf, monkeypatch):
     assert queries.QUERIES["information_surface"](spark, sf).count() == 25
     assert queries.QUERIES["surface_peak"](spark, sf).count() == 1
     assert queries.QUERIES["surface_tests"](spark, sf).count() == 250
+
+
+@pytest.mark.parametrize("chunk", [7, 10_000])
+def test_packed_tick_features_are_the_engines(spark, sf, monkeypatch, chunk):
+    """Bit by bit over batches that cut instruments, with missing levels, prices and volumes, and instruments of one tick or without a token."""
+    import numpy as np
+
+    t = ticks.load(spark, sf, bad=True).where("instrument_token < 6")
+    lost = lambda c, k: F.when(F.col("seq") % k != 0, F.col(c))
+    t = t.withColumns({"ltp": lost("ltp", 11), "ltq": lost("ltq", 13), "b0": lost("b0", 17), "qb0": lost("qb0", 19), "a3": lost("a3", 5), "qa2": lost("qa2", 7)})
+    t = t.withColumn("instrument_token", F.when(F.col("seq") % 23 == 0, None).when(F.col("seq") % 29 == 0, F.col("seq") + 100).otherwise(F.col("instrument_token"))).coalesce(1).cache()
+    names = [*surface.TOLD, *surface.STRENGTH]
+    want = features.tick_features(t).coalesce(1).orderBy("instrument_token", "mono_nanos", "seq").select("instrument_token", "mono_nanos", F.coalesce("ready", F.lit(False)).alias("ready"), *[F.col(n).cast("double") for n in names]).toPandas()
+    seen = []
+    frame = type(t)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *_: seen.append(self) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        surface.runs_ic(t)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Repartition" in plan
+    rows, parts, state = seen[0].coalesce(1).orderBy("_key0", "_time0").toArrow(), [], None
+    for batch in rows.combine_chunks().to_batches(max_chunksize=chunk):
+        part, state = surface._running(batch, state)
+        parts.append(part)
+    got = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    assert got["_t"].tolist() == want["mono_nanos"].tolist() and got["_ready"].tolist() == want["ready"].tolist() and 0 < got["_ready"].sum() < len(want)
+    for n in names:
+        assert np.array_equal(got[n], want[n].to_numpy(dtype=float), equal_nan=True), n
+    first = want.groupby("instrument_token", dropna=False)["mono_nanos"].transform("min")
+    assert got["_first"].tolist() == first.tolist() and got["_new"].sum() == want["instrument_token"].nunique(dropna=False)
+
+
+def test_packed_values_come_back(spark):
+    import pickle
+
+    import numpy as np
+
+    for v in (np.array([-0.5, 0.0, 1e-9, 0.123456789, 4200.5]), np.array([1 / 3, 2.0]), np.array([1e-9, 3e12 + 0.25]), np.array([]), np.array([7.25])):
+        c = np.arange(len(v))[None]
+        (back, n), = pickle.loads(surface._packed({5: (v, c)})).values()
+        assert surface._values_of(back).tolist() == v.tolist() and n.tolist() == c.tolist()
+    v, place = surface._distinct(np.array([2.0, np.nan, 1.0, 2.0]))
+    assert v.tolist() == [1.0, 2.0] and place.tolist() == [1, -1, 0, 1]
+    (kept, n), index = surface._counted(np.array([1.0, 2.0, 3.0]), np.array([2, 0, 2]), np.array([[300, 1, 5]]))
+    assert kept.tolist() == [1.0, 3.0] and n.tolist() == [[1, 305]] and index.tolist() == [1, 0, 1]
