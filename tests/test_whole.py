@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import schema
 from tickloom.plans import features, queries, research, surface
 from tickloom.sources import ticks
+from tickloom.sources.scratch import local
 
 
 def test_crossed_duration_of_all_ticks(spark, tmp_path):
@@ -222,3 +223,11 @@ def test_packed_values_come_back(spark):
     assert v.tolist() == [1.0, 2.0] and place.tolist() == [1, -1, 0, 1]
     (kept, n), index = surface._counted(np.array([1.0, 2.0, 3.0]), np.array([2, 0, 2]), np.array([[300, 1, 5]]))
     assert kept.tolist() == [1.0, 3.0] and n.tolist() == [[1, 305]] and index.tolist() == [1, 0, 1]
+
+
+def test_surface_tests_start_no_python_rows(spark):
+    """The cells of the surface and their sums are tables of the plan, not rows that Python workers read."""
+    ic = local(spark, {"interval_ms": [500], "horizon": [1], "feature": ["a"], "n": [40], "ic": [0.5]}, "interval_ms int, horizon int, feature string, n long, ic double")
+    out = research.surface_tests(ic, (500, 1000), (1,), ("a",))
+    assert "LogicalRDD" not in out._jdf.queryExecution().analyzed().toString()
+    assert [(r["position"], r["n"]) for r in out.orderBy("position").collect()] == [(0, 40), (1, 0)]

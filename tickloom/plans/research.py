@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import schema
-from tickloom.sources.scratch import Scratch
+from tickloom.sources.scratch import Scratch, local
 
 PAIR = ("interval_ms", "horizon", "feature")
 
@@ -149,7 +149,8 @@ def surface_tests(ic: DataFrame, intervals: tuple[int, ...] = schema.INTERVALS_M
     A cell that ic lacks has no pairs: n = 0 and no p-value. A cell beside them raises when it is counted.
     """
     cells = [(i, h, f, (a * len(horizons) + b) * len(features) + c) for a, i in enumerate(intervals) for b, h in enumerate(horizons) for c, f in enumerate(features)]
-    every = ic.sparkSession.createDataFrame(cells, "interval_ms int, horizon int, feature string, position long")
+    columns = dict(zip(("interval_ms", "horizon", "feature", "position"), map(list, zip(*cells, strict=True)), strict=True))
+    every = local(ic.sparkSession, columns, "interval_ms int, horizon int, feature string, position long")
     known = every.join(ic, ["interval_ms", "horizon", "feature"], "full").withColumn("position", F.when(F.col("position").isNotNull(), F.col("position")).otherwise(F.raise_error(F.lit("a test outside the surface")).cast("long")))
     return tested(known.withColumn("n", F.coalesce("n", F.lit(0)))).withColumn("family", F.lit("surface"))
 
