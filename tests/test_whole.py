@@ -231,3 +231,13 @@ def test_surface_tests_start_no_python_rows(spark):
     out = research.surface_tests(ic, (500, 1000), (1,), ("a",))
     assert "LogicalRDD" not in out._jdf.queryExecution().analyzed().toString()
     assert [(r["position"], r["n"]) for r in out.orderBy("position").collect()] == [(0, 40), (1, 0)]
+
+
+def test_packed_surfaces_by_day(spark, sf, monkeypatch):
+    """With two keys, of which one is a string, and a feature that only the engine's windows have."""
+    monkeypatch.setattr(surface, "CHUNK", 23)
+    t = ticks.load(spark, sf, dense=True, dated=True, bad=True, pace=18000).where("instrument_token < 3")
+    names = ("l1_obi", "ml_ofi_exp", "trade_strength", "vwap")
+    rows = lambda d: {(r["interval_ms"], r["horizon"], r["feature"]): (r["n"], r["ic"]) for r in d.collect()}
+    want = rows(research.table_ic(features.feature_runs(t, (1000, 2000), names, (1, 60), ticks.BY_DAY, 9), names, (1, 60), n="n_rows"))
+    assert rows(surface.runs_ic(t, (1000, 2000), names, (1, 60), ticks.BY_DAY)) == want and len(want) == 16
